@@ -15,7 +15,6 @@ and repeated rows are counted each; an empty table gives an empty result; other
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,12 +109,3 @@ def _locate(hist: DataFrame, ranks: DataFrame, on: list[str]) -> DataFrame:
 
 def hot_keys(profile: DataFrame, share: float) -> DataFrame:
     return profile.where(F.col("share") >= F.lit(share))
-
-
-def key_counts_salted(df: DataFrame, key: str, salts: int = 32) -> DataFrame:
-    """Distinct-free per-key count by two-stage salting, for aggregates without partial form; kept for operators built on it."""
-    first = df.groupBy(key, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).alias("__salt")).agg(F.count("*").alias("__n"))
-    return first.groupBy(key).agg(F.sum("__n").alias("n_rows"))
-
-
-MEMORY = StorageLevel.MEMORY_AND_DISK

@@ -117,7 +117,7 @@ def parse_delimited(df: DataFrame, raw: str, fields: list[Field], delimiter: str
     kept = [F.col(f"`{c}`").alias(f"in_{c}" if c in names and c != raw else c) for c in df.columns if c != raw]
     src = df.select(*kept, F.col(f"`{raw}`").cast("string").alias("__raw"))
     schema = T.StructType([*src.schema.fields[:-1], T.StructField("reject_reason", T.StringType()), *(T.StructField(f.name, f.kind) for f in fields)])
-    arrow = to_arrow_schema(schema, timezone="UTC")
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(sys.maxsize)
