@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fmindex, mixing, quantiles, topn
+from tessera.llm import fmindex, mixing, overlap, quantiles, topn
+from tessera.llm.requests import REQUESTS
 from tessera.session import cut, table
 
 WANTED = [0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
@@ -49,6 +50,33 @@ def p2_class(spark: SparkSession, sf: str) -> DataFrame:
     return quantiles.percentiles(quantiles.summaries(rows, ["ccd_class"], "dsasa_total"), WANTED)
 
 
+TRAIN, HELD_OUT = ["train"], ["valid", "test"]
+
+
+def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    prints = overlap.fingerprints(table(spark, sf, "task_sample"), "sample_id", "split", "record_type", "prompt", "composition", REQUESTS)
+    return overlap.overlaps(prints, TRAIN, HELD_OUT)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _overlaps(spark, sf).select(F.col("id_a").alias("sample_id_a"), F.col("id_b").alias("sample_id_b"))
+
+
+def p4_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Per split and source: rows there are, rows that also stand in train (word for word, or nearly), and rows declared in corpus_report."""
+    samples = table(spark, sf, "task_sample").select("sample_id", F.lower(F.trim("split")).alias("split"), F.lower(F.trim("source")).alias("source"), F.trim("prompt").alias("prompt"))
+    pairs = cut(_overlaps(spark, sf))
+    text = samples.select(F.col("sample_id").alias("train_id"), F.col("prompt").alias("train_prompt"))
+    found = pairs.join(text, "train_id").join(samples.select(F.col("sample_id").alias("held_out_id"), "prompt"), "held_out_id")
+    found = found.groupBy(F.col("held_out_id").alias("sample_id")).agg(F.max((F.col("prompt") == F.col("train_prompt")).cast("int")).alias("verbatim"))
+    rows = samples.where(F.col("split").isin(HELD_OUT)).join(found, "sample_id", "left")
+    counted = rows.groupBy("split", "source").agg(F.count("*").alias("n_rows"), F.count("verbatim").alias("n_overlapping"), F.coalesce(F.sum("verbatim"), F.lit(0)).alias("n_verbatim"))
+    names = [(a, b) for a in ("task_a", "task_c", "external") for b in HELD_OUT]
+    declared = table(spark, sf, "corpus_report").select(F.explode(F.array(*(F.struct(F.lit(b).alias("split"), F.lit(a).alias("source"), F.col(f"counts.{a}_{b}").alias("n")) for a, b in names))).alias("d"))
+    declared = declared.groupBy("d.split", "d.source").agg(F.sum("d.n").alias("n_declared"))
+    return counted.join(declared, ["split", "source"], "full")
+
+
 def _fingers(spark: SparkSession, sf: str) -> DataFrame:
     z = table(spark, sf, "zinc_finger").select(_protein("uniprot_acc").alias("uniprot_acc"), "zf_start", "imid_degradation_score", "status")
     usable = z.where("status = 'ok' and zf_start is not null and uniprot_acc is not null and imid_degradation_score between 0 and 1")
@@ -102,7 +130,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_protein_day, p2_protein, p2_day, p2_class, p5_found, p5_ranked, p7_found, p7_spans, p7_items, p8_mix, p8_shares)}
+QUERIES = {f.__name__: f for f in (p2_protein_day, p2_protein, p2_day, p2_class, p4_found, p4_report, p5_found, p5_ranked, p7_found, p7_spans, p7_items, p8_mix, p8_shares)}
 
 
 def _sql_percentiles(source: str, keys: str, metric: str = "") -> str:
