@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fmindex, mixing, overlap, quantiles, topn
+from tessera.llm import fmindex, mixing, overlap, pii, quantiles, topn
 from tessera.llm.requests import REQUESTS
 from tessera.session import cut, table
 
@@ -130,7 +130,25 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_protein_day, p2_protein, p2_day, p2_class, p4_found, p4_report, p5_found, p5_ranked, p7_found, p7_spans, p7_items, p8_mix, p8_shares)}
+def _personal(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return docs, pii.fit(docs, table(spark, sf, "name_list"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find(*_personal(spark, sf)).select("doc_id", "kind", "start_pos")
+
+
+def p9_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redact(*_personal(spark, sf))
+
+
+def p9_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    docs, model = _personal(spark, sf)
+    return pii.find(docs, model).groupBy("kind").agg(F.count("*").alias("n_cases"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+QUERIES = {f.__name__: f for f in (p2_protein_day, p2_protein, p2_day, p2_class, p4_found, p4_report, p5_found, p5_ranked, p7_found, p7_spans, p7_items, p8_mix, p8_shares, p9_found, p9_redacted, p9_kinds)}
 
 
 def _sql_percentiles(source: str, keys: str, metric: str = "") -> str:
