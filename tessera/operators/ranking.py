@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.prefix import running
+from tessera.session import attach
 
 
 def first_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -29,9 +30,9 @@ def top_per_key(df: DataFrame, key: list[str], order: list[Column], n: int, name
 
 
 def share_of_largest(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """x / max(x) over the table for each column -> name; the maxima are one row, joined back by broadcast."""
+    """x / max(x) over the table for each column -> name; the maxima are one row, attached as scalars."""
     top = df.agg(*(F.max(c).alias(f"__m_{c}") for c in columns))
-    out = df.join(F.broadcast(top))
+    out = attach(df, top)
     return out.withColumns({name: F.col(c) / F.nullif(F.col(f"__m_{c}"), F.lit(0)) for c, name in columns.items()}).drop(*(f"__m_{c}" for c in columns))
 
 
@@ -39,7 +40,7 @@ def group_size_share(df: DataFrame, key: str, name: str) -> DataFrame:
     """Size of the row's group against the largest group."""
     sizes = df.groupBy(key).agg(F.count("*").alias("__n"))
     top = sizes.agg(F.max("__n").alias("__top"))
-    return df.join(sizes.join(F.broadcast(top)), key).withColumn(name, F.col("__n") / F.col("__top")).drop("__n", "__top")
+    return df.join(attach(sizes, top), key).withColumn(name, F.col("__n") / F.col("__top")).drop("__n", "__top")
 
 
 def benjamini_hochberg(df: DataFrame, p: str, tie: list[str], group: list[str] | None = None, name: str = "q") -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.prefix import average_ranks, running
+from tessera.operators.skew import key_profile
+from tessera.session import attach, cut
 
 
 def _scores(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -54,19 +56,9 @@ def mann_whitney(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def upper_tail(z: Column) -> Column:
-    """P(Z > z) of the normal law, as an expression: W. J. Cody's complementary error function is not in Spark, so one
-    continued fraction (for |z| > 3) and one series (else) stand in; both are good to 1e-12."""
-    a = F.abs(z)
-    density = F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-    tail = a
-    for k in range(60, 0, -1):
-        tail = a + F.lit(float(k)) / tail
-    far = density / tail
-    term, total = a, a
-    for k in range(1, 60):
-        term = term * a * a / (2 * k + 1)
-        total = total + term
-    return F.when(a > 3, F.when(z > 0, far).otherwise(1 - far)).otherwise(F.when(z > 0, 0.5 - density * total).otherwise(0.5 + density * total))
+    """P(Z > z) of the normal law.  Spark has no erfc, so Python finishes the one row of the aggregate."""
+    tail = F.pandas_udf(lambda v: v.map(lambda x: None if x is None or x != x else 0.5 * math.erfc(x / math.sqrt(2))), "double")
+    return tail(z)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -79,7 +71,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def weighted_correlation(df: DataFrame, x: str, y: str, w: str, name: str) -> DataFrame:
     means = df.agg(F.sum(w).alias("__n"), (F.sum(F.col(w) * F.col(x)) / F.sum(w)).alias("__mx"), (F.sum(F.col(w) * F.col(y)) / F.sum(w)).alias("__my"))
-    d = df.join(F.broadcast(means))
+    d = attach(df, means)
     dx, dy = F.col(x) - F.col("__mx"), F.col(y) - F.col("__my")
     one = d.agg(F.max("__n").alias("n"), F.sum(F.col(w) * dx * dy).alias("xy"), F.sum(F.col(w) * dx * dx).alias("xx"), F.sum(F.col(w) * dy * dy).alias("yy"))
     return one.select(F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") >= 3, F.col("xy") / F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0))).alias(name))
@@ -99,7 +91,7 @@ def sweep(df: DataFrame, score: str, label: str, sensitivity: float = 0.0, speci
     live = F.col("cut") > 0
     at = running(cuts, [F.col("cut").desc()], {"tp": F.when(live, F.col("p")).otherwise(0), "fp": F.when(live, F.col("n")).otherwise(0)})
     totals = counts.agg(F.sum("p").alias("np"), F.sum("n").alias("nn"))
-    out = at.join(F.broadcast(totals)).select("cut", "tp", "fp", (F.col("np") - F.col("tp")).alias("fn"), (F.col("nn") - F.col("fp")).alias("tn"))
+    out = attach(at, totals).select("cut", "tp", "fp", (F.col("np") - F.col("tp")).alias("fn"), (F.col("nn") - F.col("fp")).alias("tn"))
     out = out.withColumn("sensitivity", F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0))).withColumn("specificity", F.col("tn") / F.nullif(F.col("tn") + F.col("fp"), F.lit(0)))
     return out.withColumn("youden", F.col("sensitivity") + F.col("specificity") - 1).withColumn("passes", (F.col("sensitivity") >= sensitivity) & (F.col("specificity") >= specificity))
 
@@ -112,9 +104,9 @@ def best_cut(swept: DataFrame) -> DataFrame:
 def cut_then_test(train: DataFrame, test: DataFrame, score: str, label: str) -> DataFrame:
     """The best cut on one set, and what it and the score do on the other."""
     cut_ = best_cut(sweep(train, score, label)).select("cut")
-    called = _scores(test, score, label).join(F.broadcast(cut_)).withColumn("call", (F.col(score) > 0) & (F.col(score) >= F.col("cut")))
+    called = attach(_scores(test, score, label), cut_).withColumn("call", (F.col(score) > 0) & (F.col(score) >= F.col("cut")))
     table_ = called.agg(F.max("cut").alias("cut"), F.count_if(F.col("call") & (F.col(label) == 1)).alias("tp"), F.count_if(F.col("call") & (F.col(label) != 1)).alias("fp"), F.count_if(~F.col("call") & (F.col(label) == 1)).alias("fn"), F.count_if(~F.col("call") & (F.col(label) != 1)).alias("tn"))
-    return table_.join(F.broadcast(roc_auc(test, score, label).select("auc")))
+    return attach(table_, roc_auc(test, score, label).select("auc"))
 
 
 def contingency(df: DataFrame, call: Column, truth: Column) -> DataFrame:
@@ -153,21 +145,30 @@ def misses(found: DataFrame, reference: DataFrame, key: str, most: int = 200) ->
 def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - mean) / population deviation; a constant column becomes 0."""
     moments = df.agg(*(f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))))
-    return df.join(F.broadcast(moments)).withColumns({c: (F.col(c) - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"__s_{c}")) for c in columns}).drop(*(f"__{n}_{c}" for c in columns for n in "ms"))
+    return attach(df, moments).withColumns({c: (F.col(c) - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"__s_{c}")) for c in columns}).drop(*(f"__{n}_{c}" for c in columns for n in "ms"))
+
+
+def drawn(df: DataFrame, row_id: str, draws: int, size: int, of: int, seed: int) -> DataFrame:
+    """Every row in every draw, with ``chosen``: exactly ``size`` of the ``of`` rows of a draw, those with the smallest hashes.
+
+    The hash that ends a draw is found by distributed selection; no draw is sorted or gathered."""
+    rows = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("__h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "draw", row_id), 11).cast("double"))
+    edge = key_profile(rows.select("draw", "__h"), ["draw"], "__h", [size / of])
+    last = next(c for c in edge.columns if c.startswith("q_"))
+    return rows.join(F.broadcast(edge.select("draw", F.col(last).alias("__edge"))), "draw").withColumn("chosen", F.col("__h") <= F.col("__edge")).drop("__h", "__edge")
 
 
 def permutation_p(df: DataFrame, value: str, label: str, draws: int, row_id: str, seed: int = 7) -> DataFrame:
     """Difference of class means, its permutation p (1 + #draws as large) / (1 + draws), and the draws' 95th percentile.
 
-    A draw relabels rows by the order of a hash, which is done on (draw, hash bucket) counts: a row is positive in a draw if
-    its hash is among the n_pos smallest, found with an approximate-free threshold per draw from a sorted window of the draw."""
-    known = df.where(F.col(value).isNotNull() & F.col(label).isNotNull()).select(F.col(row_id).alias("id"), F.col(value).cast("double").alias("v"), (F.col(label) == 1).cast("int").alias("y"))
-    one = known.agg(F.sum("y").alias("n1"), (F.count("*") - F.sum("y")).alias("n0"), F.avg(F.when(F.col("y") == 1, F.col("v"))).alias("m1"), F.avg(F.when(F.col("y") == 0, F.col("v"))).alias("m0"))
-    drawn = known.crossJoin(F.broadcast(known.sparkSession.range(draws).withColumnRenamed("id", "draw"))).withColumn("h", F.xxhash64(F.lit(seed), "draw", "id"))
-    placed = drawn.withColumn("r", F.row_number().over(Window.partitionBy("draw").orderBy("h", "id"))).join(F.broadcast(one))
-    nulls = placed.groupBy("draw").agg((F.avg(F.when(F.col("r") <= F.col("n1"), F.col("v"))) - F.avg(F.when(F.col("r") > F.col("n1"), F.col("v")))).alias("d"))
-    seen = one.select((F.col("m1") - F.col("m0")).alias("observed"))
-    return nulls.join(F.broadcast(seen)).agg(F.max("observed").alias("observed"), ((1 + F.count_if(F.col("d") >= F.col("observed"))) / F.lit(1.0 + draws)).alias("p"), F.percentile("d", F.lit(0.95)).alias("null_p95"))
+    A draw keeps the number of positives and relabels the rows by a hash.  Null with one class only."""
+    rows = df.where(F.col(value).isNotNull() & F.col(label).isNotNull()).select(F.col(row_id).alias("id"), F.col(value).cast("double").alias("v"), (F.col(label) == 1).cast("int").alias("y"))
+    one = cut(rows.agg(F.sum("y").alias("n1"), F.count("*").alias("n"), (F.avg(F.when(F.col("y") == 1, F.col("v"))) - F.avg(F.when(F.col("y") == 0, F.col("v")))).alias("observed")))
+    n1, n, observed = one.first()
+    if not n1 or n1 == n:
+        return one.select(F.lit(None).cast("double").alias("observed"), F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("null_p95"))
+    nulls = drawn(rows, "id", draws, n1, n, seed).groupBy("draw").agg((F.avg(F.when(F.col("chosen"), F.col("v"))) - F.avg(F.when(~F.col("chosen"), F.col("v")))).alias("d"))
+    return nulls.agg(F.lit(observed).alias("observed"), ((1 + F.count_if(F.col("d") >= observed)) / F.lit(1.0 + draws)).alias("p"), F.percentile("d", F.lit(0.95)).alias("null_p95"))
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -24,3 +25,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the reliable checkpoint folder, so that later jobs neither recompute it nor lose it with an executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def attach(df: DataFrame, one: DataFrame) -> DataFrame:
+    """``df`` with the columns of a one-row DataFrame, as a scalar subquery (null where it has no row): no join at all."""
+    row = one.select(F.struct("*").alias("__one")).scalar()
+    return df.withColumn("__one", row).withColumns({c: F.col(f"__one.{c}") for c in one.columns}).drop("__one")
