@@ -77,7 +77,7 @@ def aligned(core: Column, width: int = 23, pad: str = "-") -> Column:
 
 def group_flags(core: Column, groups: dict[str, str], width: int) -> Column:
     """One-hot array: for each position and each group whether the letter there belongs to the group."""
-    flags = [F.when(F.locate(F.substring(core, i + 1, 1), F.lit(letters)) > 0, 1).otherwise(0) for i in range(width) for letters in groups.values()]
+    flags = [F.contains(F.lit(letters), F.substring(core, i + 1, 1)).cast("int") for i in range(width) for letters in groups.values()]
     return F.array(*flags)
 
 
