@@ -32,10 +32,10 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Daily counts with a watermark: the windows that are closed when the input ends."""
     folder, e = _delivered(spark, sf)
     name = f"daily_{abs(hash(folder)) % 10**9}"
-    counts = I.windowed_counts(I.deduplicated(I.stream(spark, folder, e.schema), ["event_id"], "ts", "60 days"), "ts", "1 day", ["event_type"], "60 days")
+    counts = I.windowed_counts(I.deduplicated(I.stream(spark, folder, e.schema), ["event_id"], "ts", "2 days"), "ts", "1 day", ["event_type"], None)
     q = counts.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", _folder(spark, "mark")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return cut(spark.table(name))
+    return cut(spark.table(name)).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
 def resumable_stage(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,6 +71,7 @@ def latest_event(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (stream_dedupe, stream_windows, resumable_stage, guarded_work, latest_event)}
 SQL = {
+    "stream_windows": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events) GROUP BY 1, 2",
     "stream_dedupe": "SELECT event_id, user_id, event_type, value FROM events",
     "guarded_work": "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value * 2 END AS doubled, CASE WHEN event_id % 7 = 0 THEN 'failed:ZeroDivisionError' ELSE 'ok' END AS status FROM events",
     "latest_event": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",

@@ -26,9 +26,10 @@ def deduplicated(events: DataFrame, keys: list[str], at: str, late: str = "1 day
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def windowed_counts(events: DataFrame, at: str, width: str, by: list[str], late: str = "1 day") -> DataFrame:
-    """Tumbling counts with a watermark for late rows."""
-    return events.withWatermark(at, late).groupBy(F.window(at, width), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), *by, "n")
+def windowed_counts(events: DataFrame, at: str, width: str, by: list[str], late: str | None = "1 day") -> DataFrame:
+    """Tumbling counts with a watermark for late rows (None: the stream has one already)."""
+    marked = events.withWatermark(at, late) if late else events
+    return marked.groupBy(F.window(at, width), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), *by, "n")
 
 
 def run_once(source: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, manifest: str, key: str, checkpoint: str) -> StreamingQuery:
