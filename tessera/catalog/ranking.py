@@ -54,13 +54,13 @@ def smallest_value(spark: SparkSession, sf: str) -> DataFrame:
 def fdr_by_type(spark: SparkSession, sf: str) -> DataFrame:
     """Benjamini-Hochberg within each event type; the p-value is a rank-free function of the value."""
     e = table(spark, sf, "events").select("event_id", "event_type", (F.pmod(F.col("event_id") * 7919, F.lit(10007)) / 10007.0).alias("p"))
-    out = ranking.benjamini_hochberg(e, "p", ["event_id"], ["event_type"])
+    out = ranking.benjamini_hochberg(e, "p", ["event_type"])
     return out.withColumn("depleted", (F.col("q") < 0.1).cast("int")).select("event_id", "q", "depleted")
 
 
 def fdr_overall(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("event_id", (F.pmod(F.col("event_id") * 7919, F.lit(997)) / 997.0).alias("p"))
-    return ranking.benjamini_hochberg(e, "p", ["event_id"]).select("event_id", "q")
+    return ranking.benjamini_hochberg(e, "p").select("event_id", "q")
 
 
 def scaled_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,7 +147,7 @@ SQL = {
     "first_delivery": f"WITH {_F} SELECT acc, zf_start, id, status FROM f WHERE zf_start IS NOT NULL QUALIFY row_number() OVER (PARTITION BY acc, zf_start ORDER BY id) = 1",
     "latest_delivery": f"WITH {_F} SELECT acc, zf_start, id, status FROM f WHERE zf_start IS NOT NULL QUALIFY row_number() OVER (PARTITION BY acc, zf_start ORDER BY loaded_at DESC, id DESC) = 1",
     "smallest_value": "SELECT user_id, event_type, value, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value, event_id) = 1",
-    "fdr_by_type": f"WITH e AS (SELECT event_id, event_type, (event_id * 7919) % 10007 / 10007.0::DOUBLE AS p FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY p, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM e) SELECT event_id, {_BH.format('PARTITION BY event_type')} AS q, CASE WHEN q < 0.1 THEN 1 ELSE 0 END AS depleted FROM r",
+    "fdr_by_type": f"WITH e AS (SELECT event_id, event_type, (event_id * 7919) % 10007 / 10007.0::DOUBLE AS p FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY p, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM e) , q AS (SELECT event_id, event_type, p, {_BH.format('PARTITION BY event_type')} AS q0 FROM r), m AS (SELECT event_id, min(q0) OVER (PARTITION BY event_type, p) AS q FROM q) SELECT event_id, q, CASE WHEN q < 0.1 THEN 1 ELSE 0 END AS depleted FROM m",
     "fdr_overall": f"WITH e AS (SELECT event_id, (event_id * 7919) % 997 / 997.0::DOUBLE AS p FROM events), r AS (SELECT *, row_number() OVER (ORDER BY p, event_id) AS i, count(*) OVER () AS n FROM e), q AS (SELECT event_id, p, {_BH.format('')} AS q0 FROM r) SELECT event_id, min(q0) OVER (PARTITION BY p) AS q FROM q",
     "scaled_scores": "SELECT s_suppkey, s_acctbal / max(s_acctbal) OVER () AS balance_share, n / max(n) OVER () AS nation_share FROM (SELECT *, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)",
     "finger_runs": f"WITH {_R} SELECT * FROM runs",

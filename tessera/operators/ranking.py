@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.prefix import running
-from tessera.session import attach
+from tessera.operators.skew import key_profile
+from tessera.session import attach, cut
 
 
 def first_per_key(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -43,28 +44,24 @@ def group_size_share(df: DataFrame, key: str, name: str) -> DataFrame:
     return df.join(attach(sizes, top), key).withColumn(name, F.col("__n") / F.col("__top")).drop("__n", "__top")
 
 
-def benjamini_hochberg(df: DataFrame, p: str, tie: list[str], group: list[str] | None = None, name: str = "q") -> DataFrame:
-    """False-discovery q-values: the running minimum of p * n / rank from the largest p down, at most 1.
+def benjamini_hochberg(df: DataFrame, p: str, group: list[str] | None = None, name: str = "q") -> DataFrame:
+    """False-discovery q-values: the running minimum of p * n / rank from the largest p down, at most 1, within each group.
 
-    Null p-values have no rank and a null q.  Without a group the running minimum is taken over distinct p-values, in ranges."""
-    known = df.where(F.col(p).isNotNull())
-    if group:
-        up = Window.partitionBy(*group).orderBy(p, *tie)
-        down = Window.partitionBy(*group).orderBy(F.desc(p), *(F.desc(t) for t in tie)).rowsBetween(Window.unboundedPreceding, 0)
-        ranked = known.withColumn("__r", F.row_number().over(up)).withColumn("__n", F.count("*").over(Window.partitionBy(*group)))
-        scored = ranked.withColumn(name, F.least(F.lit(1.0), F.min(F.col(p) * F.col("__n") / F.col("__r")).over(down))).drop("__r", "__n")
-        return scored.unionByName(df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
-    from tessera.session import cut
-
-    distinct = known.groupBy(p).agg(F.count("*").alias("__ties"))
-    upto = running(distinct, [F.col(p)], {"__r": F.col("__ties")})
-    total = known.count()
-    raw = cut(upto.withColumn("__raw", F.col(p) * F.lit(total) / F.col("__r")).repartitionByRange(F.col(p)).withColumn("__part", F.spark_partition_id()))
-    least = raw.groupBy("__part").agg(F.min("__raw").alias("__m"))
-    after = least.withColumn("__after", F.min("__m").over(Window.orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1))).drop("__m")
-    inside = Window.partitionBy("__part").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    q = raw.join(F.broadcast(after), "__part").select(p, F.least(F.lit(1.0), F.min("__raw").over(inside), F.col("__after")).alias(name))
-    return df.join(q, p, "left")
+    Equal p-values share their q, so everything runs on distinct (group, p) with counts, range-partitioned: ranks by
+    ``prefix.running``, and the minimum over larger p-values from one minimum a (range, group).  Null p-values have a null q."""
+    by = group or []
+    ties = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("__ties"))
+    order = [F.col(c) for c in (*by, p)]
+    upto = running(ties, order, {"__upto": F.col("__ties")})
+    sizes = upto.groupBy(*by).agg(F.min(F.col("__upto") - F.col("__ties")).alias("__base"), F.sum("__ties").alias("__n"))
+    sized = upto.join(sizes, by) if by else attach(upto, sizes)
+    raw = cut(sized.withColumn("__raw", F.col(p) * F.col("__n") / (F.col("__upto") - F.col("__base"))).select(*by, p, "__raw").repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    least = raw.groupBy(*by, "__part").agg(F.min("__raw").alias("__m"))
+    later = Window.partitionBy(*by).orderBy(F.desc("__part")).rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    after = least.select(*by, "__part", F.min("__m").over(later).alias("__after"))
+    inside = Window.partitionBy(*by, "__part").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
+    q = raw.join(after, [*by, "__part"]).select(*by, p, F.least(F.lit(1.0), F.min("__raw").over(inside), F.col("__after")).alias(name))
+    return df.join(q, [*by, p], "left")
 
 
 def runs(df: DataFrame, key: list[str], position: str, flag: Column, least: int = 1) -> DataFrame:
@@ -104,13 +101,10 @@ def furthest(df: DataFrame, key: list[str], at: list[str], row_id: str) -> DataF
 
 
 def index_quantiles(df: DataFrame, value: str, wanted: list[float], key: list[str], least: int = 5) -> DataFrame:
-    """The value at index min(n - 1, floor(n * q)) of the sorted group, for groups of at least ``least`` values."""
-    known = df.where(F.col(value).isNotNull())
-    sizes = known.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    w = Window.partitionBy(*key).orderBy(value)
-    at = known.join(sizes, key).withColumn("__i", F.row_number().over(w) - 1)
-    names = {q: f"q{q * 100:g}" for q in wanted}
-    return at.groupBy(*key, "n").agg(*(F.max(F.when(F.col("__i") == F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(q))), F.col(value))).alias(names[q]) for q in wanted))
+    """The value at index min(n - 1, floor(n * q)) of the sorted group, for groups of at least ``least`` values, by distributed selection."""
+    found = key_profile(df, key, value, wanted, by_index=True)
+    old = [c for c in found.columns if c.startswith("q_")]
+    return found.where(F.col("n_values") >= least).select(*key, F.col("n_values").alias("n"), *(F.col(c).alias(f"q{q * 100:g}") for c, q in zip(old, wanted)))
 
 
 def thinned(df: DataFrame, order: list[Column], points: int) -> DataFrame:

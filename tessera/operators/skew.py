@@ -45,9 +45,10 @@ def from_ordinal(o: Column) -> Column:
     return F.when(o < 0, -a).otherwise(a)
 
 
-def key_profile(df: DataFrame, keys: list[str], value: str, quantiles: list[float], hot_share: float = 0.001) -> DataFrame:
+def key_profile(df: DataFrame, keys: list[str], value: str, quantiles: list[float], hot_share: float = 0.001, by_index: bool = False) -> DataFrame:
     """One row a key: n_rows, n_values, share (of all rows of ``df``, null keys included), sum_value, min_value, max_value
-    and q_<percent> for each quantile q: the smallest value with at least q of the key's values at or below it."""
+    and q_<percent> for each quantile q: the smallest value with at least q of the key's values at or below it, or with
+    ``by_index`` the value at index min(n - 1, floor(n * q)) of the sorted values."""
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).withColumn("__o", ordinal(F.col("__v")))
     known = rows.where(" and ".join(f"`{k}` is not null" for k in keys))
     prefix = lambda done: F.shiftright("__o", 64 - done)
@@ -67,7 +68,9 @@ def key_profile(df: DataFrame, keys: list[str], value: str, quantiles: list[floa
     hot = cut(profile.where(F.col("share") >= hot_share).select(*keys)) if quantiles else None
 
     # a bracket: a key's bucket and the rank wanted inside it
-    wanted = F.explode(F.array(*(F.struct(F.lit(q).alias("__q"), F.greatest(F.lit(1), F.ceil(F.col("n_values") * F.lit(q) - F.lit(1e-9))).cast("long").alias("__rank")) for q in quantiles))) if quantiles else None
+    n = F.col("n_values")
+    rank = lambda q: F.least(n, F.floor(n * F.lit(q)) + 1) if by_index else F.greatest(F.lit(1), F.ceil(n * F.lit(q) - F.lit(1e-9)))
+    wanted = F.explode(F.array(*(F.struct(F.lit(q).alias("__q"), rank(q).cast("long").alias("__rank")) for q in quantiles))) if quantiles else None
     found = None
     if quantiles:
         ranks = profile.where("n_values > 0").select(*keys, wanted.alias("__w")).select(*keys, "__w.*")

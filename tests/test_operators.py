@@ -74,7 +74,7 @@ def test_fdr(spark):
     p = [0.01, 0.02, 0.02, 0.5, 1.0, None]
     df = spark.createDataFrame([(i, "g", x) for i, x in enumerate(p)], "id bigint, g string, p double")
     want = [0.05, 0.02 * 5 / 3, 0.02 * 5 / 3, 0.625, 1.0, None]
-    for out in (ranking.benjamini_hochberg(df, "p", ["id"]), ranking.benjamini_hochberg(df, "p", ["id"], ["g"])):
+    for out in (ranking.benjamini_hochberg(df, "p"), ranking.benjamini_hochberg(df, "p", ["g"])):
         got = {r.id: r.q for r in out.collect()}
         assert all((got[i] is None) if w is None else abs(got[i] - min(w, want[1] if i == 0 else w)) < 1e-12 for i, w in enumerate(want))
 
