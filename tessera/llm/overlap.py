@@ -200,23 +200,26 @@ def _segments(code: Column) -> Column:
 def _members(prints: DataFrame) -> DataFrame:
     # a request that can be read in full is its conditions; else its words count too
     words = F.when(F.col("complete"), F.lit("")).otherwise(F.concat_ws(" ", "words"))
-    return prints.withColumn("cls", F.md5(F.concat_ws("\u0001", "group", F.when(F.col("complete"), F.col("sig")).otherwise(F.lit("?")), "pairs", "vals", words)))
+    return prints.withColumn("cls", F.unhex(F.md5(F.concat_ws("\u0001", "group", F.when(F.col("complete"), F.col("sig")).otherwise(F.lit("?")), "pairs", "vals", words))))
 
 
 def overlaps(prints: DataFrame, train: list[str], held_out: list[str]) -> DataFrame:
     """(id_a, id_b, distance): every row of ``train`` splits with every held-out row that asks for the same; smaller id first."""
     members = cut(_members(prints).withColumn("side", F.when(F.col("split").isin(train), 0).when(F.col("split").isin(held_out), 1)).where("side is not null"))
-    # words only serve where a request was not read in full; the first row's stand for its class
     classes = cut(members.groupBy("side", "cls").agg(*(F.min(c).alias(c) for c in ("group", "sig", "pairs", "vals", "words", "complete", "code"))))
-    cut_up = classes.withColumn("s", F.explode(_segments(F.col("code")))).select("*", "s.no", "s.part").drop("s")
-    side = lambda n: cut_up.where(F.col("side") == n).drop("side").withColumnsRenamed({c: f"{c}_{n}" for c in ("cls", "sig", "pairs", "vals", "words", "complete", "code")})
+    # only ids and codes meet in the join; what a class asks for is fetched for the pairs within the radius
+    cut_up = classes.select("side", "group", "cls", "code", F.explode(_segments(F.col("code"))).alias("s")).select("side", "group", "cls", "code", "s.no", "s.part")
+    side = lambda n: cut_up.where(F.col("side") == n).drop("side").withColumnsRenamed({"cls": f"cls_{n}", "code": f"code_{n}"})
     met = side(0).join(side(1), ["group", "no", "part"])
     differ = F.col("code_0").bitwiseXOR(F.col("code_1"))
     earlier = reduce(lambda a, b: a | b, [(F.col("no") > i) & (F.shiftrightunsigned(differ, shift).bitwiseAND(F.lit((1 << width) - 1)) == 0) for i, (shift, width) in enumerate(SEGMENTS[:-1])])
-    met = met.withColumn("distance", F.bit_count(differ)).where((F.col("distance") <= RADIUS) & ~earlier)
+    near = met.withColumn("distance", F.bit_count(differ)).where((F.col("distance") <= RADIUS) & ~earlier).select("cls_0", "cls_1", "distance")
+    asked = lambda n: classes.where(F.col("side") == n).select(F.col("cls").alias(f"cls_{n}"), *(F.col(c).alias(f"{c}_{n}") for c in ("sig", "pairs", "vals", "words", "complete")))
+    known = near.join(asked(0), "cls_0").join(asked(1), "cls_1")
+    # the words of a class's first row stand for it; they only serve where a request was not read in full
     alike = F.size(F.array_intersect("words_0", "words_1")) / F.size(F.array_union("words_0", "words_1")) >= SIMILAR
     same = F.when(F.col("complete_0") & F.col("complete_1"), F.col("sig_0") == F.col("sig_1")).otherwise((F.col("vals_0") == F.col("vals_1")) & (F.col("pairs_0") == F.col("pairs_1")) & alike)
-    pairs = met.where(same).select("cls_0", "cls_1", "distance")
+    pairs = known.where(same).select("cls_0", "cls_1", "distance")
     rows = lambda n: members.where(F.col("side") == n).select(F.col("cls").alias(f"cls_{n}"), F.col("id").alias(f"id_{n}"))
     out = rows(0).join(pairs, "cls_0").join(rows(1), "cls_1")
     return out.select(F.least("id_0", "id_1").alias("id_a"), F.greatest("id_0", "id_1").alias("id_b"), F.col("id_0").alias("train_id"), F.col("id_1").alias("held_out_id"), "distance")
