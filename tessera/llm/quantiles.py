@@ -7,7 +7,7 @@ buffers only ever meet their equals (a binary tree), so the total is at most (n
 summary carries the sum of the moves actually made: ``rank_error`` is a proven bound, and 0 means exact.
 
 Groups are never gathered whole.  A group with up to ``k`` values is one exact buffer, built in the JVM.  A larger
-one is dealt by hash into leaves of about ``k`` values, which are collapsed in a tree of fan-in ``FAN``.  The keys
+one is dealt into leaves of about ``k`` values, which are collapsed in a tree of fan-in ``FAN``.  The keys
 whose size must be known before their rows are dealt are counted first; those with at least ``hot_share`` of the
 rows (at most 1 / ``hot_share`` keys) are broadcast, all others are counted in the window that deals them.
 
@@ -83,11 +83,14 @@ def summaries(df: DataFrame, keys: list[str], value: str, k: int = K, hot_share:
     counts = cut(rows.groupBy(*keys).agg(F.count("*").alias("__n")))
     total = counts.agg(F.sum("__n")).first()[0] or 0
     hot = F.broadcast(counts.where(F.col("__n") >= F.lit(max(k, hot_share * total))))
-    cold_rows = rows.join(hot.select(*keys), keys, "left_anti").withColumn("__n", F.count("*").over(Window.partitionBy(*keys)))
-    hot_rows = rows.join(hot, keys)
-    deal = F.pmod(F.xxhash64("__v", F.monotonically_increasing_id()), F.ceil(F.col("__n") / F.lit(k)))
+    # Both ways of dealing give a task that runs again the same leaves: by value order (equal values may change places), or by
+    # the row's place in a checkpoint.
+    place = Window.partitionBy(*keys).orderBy("__v")
+    cold_rows = rows.join(hot.select(*keys), keys, "left_anti").withColumns({"__n": F.count("*").over(Window.partitionBy(*keys)), "__leaf": F.floor((F.row_number().over(place) - 1) / F.lit(k))})
+    hot_rows = cut(rows.join(hot, keys))
+    hot_rows = hot_rows.withColumn("__leaf", F.pmod(F.xxhash64("__v", F.monotonically_increasing_id()), F.ceil(F.col("__n") / F.lit(k))))
     leaf = [F.count("*").alias("n"), F.array_sort(F.collect_list("__v")).alias("__values"), F.first("__n").alias("__n")]
-    leaves = cold_rows.withColumn("__leaf", deal).groupBy(*keys, "__leaf").agg(*leaf).unionByName(hot_rows.withColumn("__leaf", deal).groupBy(*keys, "__leaf").agg(*leaf))
+    leaves = cold_rows.groupBy(*keys, "__leaf").agg(*leaf).unionByName(hot_rows.groupBy(*keys, "__leaf").agg(*leaf))
     leaves = leaves.select(*keys, "__leaf", "n", F.lit(0).cast("long").alias("rank_error"), F.array(F.struct(F.lit(1).cast("long").alias("weight"), F.col("__values").alias("values"))).cast(BUFFERS).alias("buffers"), "__n")
     leaves = cut(leaves)
     small = leaves.where(F.col("__n") <= k).select(*keys, "n", "rank_error", "buffers")

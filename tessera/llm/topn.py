@@ -8,7 +8,8 @@ survivors are ranked.  All other groups go through an ordinary window.  The two
 Defined results: rows with a null group key belong to no group and are left out; null and NaN order values come
 last in either direction; ties beyond the given order are broken by all other columns, so that the same rows
 come out however the data is partitioned; repeated rows count each; a group smaller than N comes out whole; an
-empty table gives an empty result; columns starting with ``__`` are reserved.
+empty table gives an empty result; a column named like the rank is kept as ``in_<rank>``; columns starting with
+``__`` are reserved.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ def _order(df: DataFrame, group: list[str], order: list[tuple[str, str]]) -> lis
 
 def top_n(df: DataFrame, group: list[str], order: list[tuple[str, str]], n: int, hot_share: float = 0.01, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of each group in ``order`` ([(column, 'asc' | 'desc')]), with their rank."""
+    if rank in df.columns:
+        df = df.withColumnRenamed(rank, f"in_{rank}")
     rows = cut(df.where(" and ".join(f"`{g}` is not null" for g in group)))
     by = _order(rows, group, order)
     counts = rows.groupBy(*group).agg(F.count("*").alias("__n"))

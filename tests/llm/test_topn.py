@@ -26,4 +26,6 @@ def test_repeats_small_groups_and_empty(spark):
     same = spark.createDataFrame([("a", 1.0, "x")] * 500 + [("b", 2.0, "y")], "g string, s double, salt string")
     got = top_n(same, ["g"], [("s", "desc")], 3).collect()
     assert sorted((r.g, r["rank"]) for r in got) == [("a", 1), ("a", 2), ("a", 3), ("b", 1)]
+    clash = top_n(same.withColumnRenamed("salt", "rank"), ["g"], [("s", "desc")], 1).collect()
+    assert {(r.g, r["rank"], r.in_rank) for r in clash} == {("a", 1, "x"), ("b", 1, "y")}
     assert top_n(same.limit(0), ["g"], [("s", "desc")], 3).count() == 0
