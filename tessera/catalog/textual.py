@@ -13,6 +13,7 @@ from tessera.session import table
 
 #: Residue letters by chemical group.
 GROUPS = {"aliphatic": "AVILM", "aromatic": "FWY", "polar": "STNQ", "positive": "KRH", "negative": "DE", "small": "GP", "sulphur": "C", "gap": "-X"}
+#: Fixed value: the finger motif.
 MOTIF = "C.{2,4}C.{10,14}H.{3,5}H"
 
 

@@ -80,7 +80,7 @@ class RecordType:
         object.__setattr__(self, "by_name", {f.name: f for f in self.fields})
 
     def spec(self, name: str) -> FieldSpec:
-        if name not in self.by_name:
+        if not isinstance(name, str) or name not in self.by_name:
             raise QueryError(f"{self.name} has no field {name!r}; its fields are {', '.join(sorted(self.by_name))}")
         return self.by_name[name]
 
@@ -93,7 +93,7 @@ class Registry:
         self.types = {t.name: t for t in types}
 
     def get(self, name: Any) -> RecordType:
-        if name not in self.types:
+        if not isinstance(name, str) or name not in self.types:
             raise QueryError(f"unknown record_type {name!r}; it is one of {', '.join(sorted(self.types))}")
         return self.types[name]
 
