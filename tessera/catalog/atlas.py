@@ -14,7 +14,7 @@ from tessera.operators.references import code
 from tessera.plans.planner import Planner
 from tessera.plans.query import parse
 from tessera.plans.schema import FieldSpec, Parent, RecordType, Registry, vocabulary
-from tessera.session import table
+from tessera.session import remembered, table
 
 N, E, B, X = "number", "enum", "bool", "text"
 BRIDGE = RecordType(
@@ -47,12 +47,20 @@ def known(df: DataFrame) -> DataFrame:
 
 
 def entries(spark: SparkSession, sf: str) -> DataFrame:
-    """One row an entry: of repeated deliveries the last."""
+    """One row an entry: of repeated deliveries the last.  Made once while the files stay as they are."""
+    return remembered(spark, "entries", f"{sf}/entry.parquet", lambda: _entries(spark, sf))
+
+
+def _entries(spark: SparkSession, sf: str) -> DataFrame:
     e = known(table(spark, sf, "entry")).withColumn("pdb_id", code("pdb_id")).where("pdb_id is not null")
     return first_per_key(e, ["pdb_id"], [F.col("loaded_at").desc_nulls_last(), *(F.col(c).asc_nulls_last() for c in _LAST)])
 
 
 def ligands(spark: SparkSession, sf: str) -> DataFrame:
+    return remembered(spark, "ligands", f"{sf}/ligand.parquet", lambda: _ligands(spark, sf))
+
+
+def _ligands(spark: SparkSession, sf: str) -> DataFrame:
     g = known(table(spark, sf, "ligand")).withColumn("ccd_id", code("ccd_id")).where("ccd_id is not null")
     return first_per_key(g, ["ccd_id"], [F.col("loaded_at").desc_nulls_last(), *(F.col(c).asc_nulls_last() for c in ("status", "name", "formula", "mw", "ccd_class"))])
 

@@ -25,7 +25,9 @@ def overlaps(left: DataFrame, right: DataFrame, key: str, low: tuple[str, str],
 
 
 def best_overlap(windows: DataFrame, candidates: DataFrame, key: str, low: tuple[str, str], high: tuple[str, str], score: str, window_id: list[str], least: int = 1, absent: float | None = 0.0) -> DataFrame:
-    """Each window with the best score of the candidates that overlap it (``absent`` where none does) and their number."""
+    """Each window with the best score of the candidates that overlap it (``absent`` where none does) and their number.
+
+    Give distinct windows, and candidates aggregated to one row an interval: pairs are then bounded by positions, not by rows."""
     met = overlaps(windows, candidates, key, low, high, least).groupBy(*window_id).agg(F.max(score).alias("best"), F.count("*").alias("n_overlaps"))
     out = windows.join(met, window_id, "left").withColumn("n_overlaps", F.coalesce("n_overlaps", F.lit(0)))
     return out if absent is None else out.withColumn("best", F.coalesce("best", F.lit(absent)))

@@ -65,7 +65,7 @@ def benjamini_hochberg(df: DataFrame, p: str, group: list[str] | None = None, na
 
 
 def runs(df: DataFrame, key: list[str], position: str, flag: Column, least: int = 1) -> DataFrame:
-    """Stretches of consecutive positions where ``flag`` holds: begin, end and length."""
+    """Stretches of consecutive positions where ``flag`` holds: begin, end and length.  One row a position, as for ``sliding_mean``."""
     on = df.where(flag).select(*key, position)
     w = Window.partitionBy(*key).orderBy(position)
     island = on.withColumn("__g", F.col(position) - F.row_number().over(w))
@@ -80,7 +80,9 @@ def adjacent(df: DataFrame, key: list[str], order: str, columns: list[str]) -> D
 
 
 def sliding_mean(df: DataFrame, key: list[str], position: str, value: str, reach: int, name: str = "mean") -> DataFrame:
-    """Mean over the positions at most ``reach`` away, by position and not by row."""
+    """Mean over the positions at most ``reach`` away, by position and not by row.
+
+    Aggregate to one row a position first: then a key's window is as long as its sequence, however many rows it has."""
     w = Window.partitionBy(*key).orderBy(position).rangeBetween(-reach, reach)
     return df.withColumn(name, F.avg(value).over(w))
 

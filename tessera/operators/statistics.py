@@ -10,7 +10,7 @@ import math
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.prefix import average_ranks, running
@@ -34,9 +34,11 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
 def grouped_auc(df: DataFrame, group: str, score: str, label: str) -> DataFrame:
     """auc of each group that has both classes."""
     counts = _scores(df, score, label).groupBy(group, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
-    below = F.sum("n").over(Window.partitionBy(group).orderBy(score).rowsBetween(Window.unboundedPreceding, 0))
-    won = counts.withColumn("below", below).groupBy(group).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.sum(F.col("p") * (F.col("below") - F.col("n") / 2.0)).alias("__w"))
-    return won.where("n_pos > 0 and n_neg > 0").select(group, "n_pos", "n_neg", (F.col("__w") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
+    # one running total over all groups in order; what stands before a group is taken off inside the group's aggregate
+    upto = running(counts, [F.col(group), F.col(score)], {"below": F.col("n")})
+    won = F.sum(F.col("p") * (F.col("below") - F.col("n") / 2.0)) - F.min(F.col("below") - F.col("n")) * F.sum("p")
+    each = upto.groupBy(group).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), won.alias("__w"))
+    return each.where("n_pos > 0 and n_neg > 0").select(group, "n_pos", "n_neg", (F.col("__w") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
 def mean_grouped_auc(df: DataFrame, group: str, score: str, label: str) -> DataFrame:

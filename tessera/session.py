@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,3 +32,30 @@ def attach(df: DataFrame, one: DataFrame) -> DataFrame:
     """``df`` with the columns of a one-row DataFrame, as a scalar subquery (null where it has no row): no join at all."""
     row = one.select(F.struct("*").alias("__one")).scalar()
     return df.withColumn("__one", row).withColumns({c: F.col(f"__one.{c}") for c in one.columns}).drop("__one")
+
+
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def fingerprint(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(bytes, newest change) of the files under a path, on whatever file system it is."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    size, newest = 0, fs.getFileStatus(hadoop).getModificationTime()
+    files = fs.listFiles(hadoop, True)
+    while files.hasNext():
+        f = files.next()
+        size, newest = size + f.getLen(), max(newest, f.getModificationTime())
+    return size, newest
+
+
+def remembered(spark: SparkSession, name: str, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, made once for as long as the files under ``path`` stay as they are, and kept in the checkpoint folder.
+
+    For small lookup relations that many queries share; an older form is dropped when the files change."""
+    key, state = (spark.sparkContext.applicationId, name, path), fingerprint(spark, path)
+    for old in [k for k in _KEPT if k[:3] == key and k[3] != state or k[0] != key[0]]:
+        del _KEPT[old]
+    if (*key, state) not in _KEPT:
+        _KEPT[*key, state] = cut(build())
+    return _KEPT[*key, state]

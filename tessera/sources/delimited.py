@@ -46,15 +46,14 @@ def split_record(raw: str, delimiter: str = "\t") -> list[str]:
         raw = raw[:-1]
     if raw.endswith("\r"):
         raw = raw[:-1]
-    if '"' not in raw and "\n" not in raw and "\r" not in raw:
-        return raw.split(delimiter)
+    csv.field_size_limit(sys.maxsize)  # else a field of more than 128 KB is an error; this setting is the process's
     try:
         records = list(csv.reader(io.StringIO(raw, newline=""), delimiter=delimiter, quotechar='"', doublequote=True, strict=True))
     except csv.Error as e:
         raise Broken("line_break_outside_quotes" if "new-line" in str(e) else "broken_quoting") from None
     if len(records) != 1:
         raise Broken("line_break_outside_quotes" if records else "column_count")
-    if not _quotes_in_place(raw, delimiter):
+    if '"' in raw and not _quotes_in_place(raw, delimiter):
         raise Broken("broken_quoting")
     return records[0]
 
@@ -120,7 +119,6 @@ def parse_delimited(df: DataFrame, raw: str, fields: list[Field], delimiter: str
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        csv.field_size_limit(sys.maxsize)
         for batch in batches:
             found = [parse_record(x, fields, delimiter) for x in batch.column(batch.num_columns - 1).to_pylist()]
             columns = list(batch.columns[:-1]) + [pa.array([r for r, _ in found], pa.string())]
