@@ -165,6 +165,15 @@ def _sql_lysine(keys: str) -> str:
 _TOP = """WITH f AS (SELECT upper(trim(uniprot_acc, ' ')) AS uniprot_acc, zf_start, max(imid_degradation_score) AS score FROM zinc_finger
     WHERE status = 'ok' AND zf_start IS NOT NULL AND trim(uniprot_acc, ' ') <> '' AND imid_degradation_score BETWEEN 0 AND 1 GROUP BY ALL),
   r AS (SELECT *, row_number() OVER (PARTITION BY uniprot_acc ORDER BY score DESC, zf_start) AS rank FROM f)"""
+
+
+def _grams(name: str, key: str, table_: str) -> str:
+    """Distinct runs of twelve words of a table's texts."""
+    cleaned = "lower(regexp_replace(text, '[\u00ad\u200b\u200c\u200d\ufeff]', '', 'g'))"
+    words = f"SELECT {key}, regexp_extract_all({cleaned}, '[\\p{{L}}\\p{{N}}]+') AS w FROM {table_} WHERE text IS NOT NULL"
+    return f"{name} AS (SELECT DISTINCT {key}, unnest([array_to_string(w[k:k + 11], ' ') FOR k IN range(1, len(w) - 10)]) AS gram FROM ({words}))"
+
+
 # the percentiles are exact, and so equal to SQL, as long as a group has at most quantiles.K values, as at the scale checked
 SQL = {
     "p2_protein_day": _sql_lysine("uniprot_acc, day"),
@@ -173,4 +182,5 @@ SQL = {
     "p2_class": _sql_percentiles("SELECT ccd_class, dsasa_total AS x FROM bridge WHERE ccd_class IS NOT NULL", "ccd_class"),
     "p5_found": f"{_TOP} SELECT uniprot_acc, zf_start FROM r WHERE rank <= 3",
     "p5_ranked": f"{_TOP} SELECT * FROM r WHERE rank <= 3",
+    "p7_found": f"WITH {_grams('d', 'doc_id', 'documents')}, {_grams('i', 'item_id', 'eval_item')} SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (gram)",
 }
