@@ -14,8 +14,12 @@ from tessera.session import cut, table
 WANTED = [0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
 
 
+UNKNOWN = ""  # stands for no accession or no day in the parts, so that they add up to the whole; no code is blank
+
+
 def _lysine_days(spark: SparkSession, sf: str, value: str) -> DataFrame:
-    rows = table(spark, sf, "lysine").select(_protein("uniprot_acc").alias("uniprot_acc"), F.date_format("measured_at", "yyyy-MM-dd").alias("day"), value)
+    known = {"uniprot_acc": _protein("uniprot_acc"), "day": F.date_format("measured_at", "yyyy-MM-dd")}
+    rows = table(spark, sf, "lysine").select(*(F.coalesce(c, F.lit(UNKNOWN)).alias(name) for name, c in known.items()), value)
     return quantiles.summaries(rows, ["uniprot_acc", "day"], value)
 
 
@@ -24,10 +28,10 @@ def _protein(c: str):
 
 
 def _lysine(spark: SparkSession, sf: str, keys: list[str]) -> DataFrame:
-    """Percentiles by protein and day, or of their sums over the days or the proteins."""
+    """Percentiles by protein and day, or of their sums over the days or the proteins; only a key reported must be known."""
     parts = []
     for value in ("nz_rel_sasa", "cb_cb_distance"):
-        days = _lysine_days(spark, sf, value)
+        days = _lysine_days(spark, sf, value).where(" and ".join(f"{k} <> '{UNKNOWN}'" for k in keys))
         found = days if len(keys) == 2 else quantiles.merge(cut(days), keys)
         parts.append(quantiles.percentiles(found, WANTED).select(F.lit(value).alias("metric"), "*"))
     return reduce(DataFrame.unionByName, parts)
