@@ -15,9 +15,9 @@ from tessera.session import table
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers and parts that meet in an order line, one edge a pair, numbered in order."""
+    """Customers and suppliers that meet in any order line, one edge a pair, numbered in order."""
     o = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey")).alias("src"))
-    pairs = table(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("dst")).join(o, "o_orderkey").select("src", "dst").distinct()
+    pairs = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("dst")).join(o, "o_orderkey").select("src", "dst").distinct()
     return ordinal(pairs, [F.col("src"), F.col("dst")], "edge_id")
 
 
