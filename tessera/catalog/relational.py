@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog.atlas import BRIDGE_SQL, ENTRY_SQL, LIGAND_SQL, bridges, entries, known, ligands
-from tessera.operators import clusters, joins, ranking, sets
+from tessera.operators import clusters, joins, ranking, sets, skew
 from tessera.operators.references import code
 from tessera.session import table
 
@@ -100,9 +100,13 @@ def class_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def class_moments(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean, population deviation, extremes and interpolated median of ordinary areas."""
-    b = bridges(spark, sf).where("dsasa_total between 0 and 5000")
-    return b.groupBy("ccd_class").agg(F.avg("dsasa_total").alias("mean"), F.stddev_pop("dsasa_total").alias("deviation"), F.min("dsasa_total").alias("smallest"), F.max("dsasa_total").alias("largest"), F.median("dsasa_total").alias("median"))
+    """Mean, population deviation, extremes and interpolated median of all areas that are a number."""
+    b = bridges(spark, sf).where("dsasa_total is not null and not isnan(dsasa_total)").select("ccd_class", F.coalesce("ccd_class", F.lit("\0")).alias("of"), "dsasa_total")
+    moments = b.groupBy("of").agg(F.first("ccd_class").alias("ccd_class"), F.avg("dsasa_total").alias("mean"), F.stddev_pop("dsasa_total").alias("deviation"), F.min("dsasa_total").alias("smallest"), F.max("dsasa_total").alias("largest"))
+    # the two middle values, one and the same where their number is odd
+    low, high = (skew.key_profile(b, ["of"], "dsasa_total", [0.5], by_index=upper).select("of", F.col("q_50").alias(name)) for upper, name in ((False, "low"), (True, "high")))
+    median = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") / 2 + F.col("high") / 2)
+    return moments.join(low, "of").join(high, "of").select("ccd_class", "mean", "deviation", "smallest", "largest", median.alias("median"))
 
 
 def entry_pairs(spark: SparkSession, sf: str) -> DataFrame:
