@@ -96,14 +96,13 @@ def ratios(spark: SparkSession, sf: str) -> DataFrame:
 def normalised_text(spark: SparkSession, sf: str) -> DataFrame:
     """Tags out, spaces collapsed, content id."""
     d = table(spark, sf, "documents").where("text is not null")
-    ascii_ = F.regexp_replace("text", "[^\\x20-\\x7e]", " ")
-    return d.select("doc_id", F.length(X.plain(ascii_)).alias("n_plain"), X.content_id(X.plain(ascii_)).alias("content_id"))
+    plain = X.plain(F.col("text"))
+    return d.select("doc_id", F.length(plain).alias("n_plain"), X.content_id(plain).alias("content_id"))
 
 
 def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").where("text is not null")
-    ascii_ = F.regexp_replace("text", "[^\\x20-\\x7e]", " ")
-    return d.select("doc_id", F.size(X.sentences(ascii_, 20, 300)).alias("n_sentences"))
+    return d.select("doc_id", F.size(X.sentences(F.col("text"), 20, 300)).alias("n_sentences"))
 
 
 def numerals_added(spark: SparkSession, sf: str) -> DataFrame:

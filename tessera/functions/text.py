@@ -9,8 +9,8 @@ NUMERAL = r"\d+(?:\.\d+)?"
 
 
 def plain(text: Column) -> Column:
-    """Tags out, white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", " "), r"\s+", " "))
+    """Tags out, white space of any script collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^>]*>", " "), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def sentences(text: Column, shortest: int = 1, longest: int = 1_000_000) -> Column:
