@@ -141,7 +141,7 @@ SQL = {
     "p3_found": f"WITH {_CODES} SELECT column_name, key_value FROM codes WHERE key_value IS NOT NULL GROUP BY ALL HAVING count(*) >= 0.02 * (SELECT count(*) FROM bridge)",
     "p3_profile": f"""WITH {_CODES}, r AS (SELECT *, row_number() OVER (PARTITION BY column_name, key_value, x IS NOT NULL AND NOT isnan(x) ORDER BY x) AS i,
         count(CASE WHEN NOT isnan(x) THEN x END) OVER (PARTITION BY column_name, key_value) AS n FROM codes WHERE key_value IS NOT NULL)
-      SELECT column_name, key_value, count(*) AS n_rows, count(CASE WHEN NOT isnan(x) THEN x END) AS n_values, CAST(sum(CASE WHEN NOT isnan(x) AND abs(x) < 1e30 THEN CAST(x AS DECIMAL(38,6)) END) AS DOUBLE) AS sum_value,
+      SELECT column_name, key_value, count(*) AS n_rows, count(CASE WHEN NOT isnan(x) THEN x END) AS n_values, fsum(CASE WHEN NOT isnan(x) THEN x END) AS sum_value,
         min(CASE WHEN NOT isnan(x) THEN x END) AS min_value, max(CASE WHEN NOT isnan(x) THEN x END) AS max_value,
         min(CASE WHEN NOT isnan(x) AND i >= ceil(0.1 * n - 1e-9) THEN x END) AS q_10, min(CASE WHEN NOT isnan(x) AND i >= ceil(0.5 * n - 1e-9) THEN x END) AS q_50, min(CASE WHEN NOT isnan(x) AND i >= ceil(0.9 * n - 1e-9) THEN x END) AS q_90
       FROM r GROUP BY ALL""",

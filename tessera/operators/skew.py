@@ -3,13 +3,14 @@
 Counts, sums and extremes are mergeable, so Spark's partial aggregation spreads a hot key over all map tasks.
 Exact per-key quantiles are found by *distributed selection*: values are mapped to order-preserving 64-bit
 ordinals, a histogram of the leading bits is counted per key, the bucket holding each wanted rank is found from
-the (bounded) histogram, and only that bucket is counted again with the next bits, until the bucket holds one
-distinct value.  What crosses the network is always (key, bucket, count); the values of a key are never
+the (bounded) histogram, and only that bucket is counted again with the next bits (a bucket of at most ``FEW`` rows by
+its values), until the bucket holds one distinct value.  What crosses the network is always (key, bucket, count); the values of a key are never
 gathered.  Hot keys (at most 1 / ``hot_share`` of them, whatever the size of the data) find their buckets
 through a broadcast of bounded size, all others through a shuffled join.
 
 Defined results: a null key is left out (count it apart if needed); null and NaN values count as rows but not as
-values; infinities are ordinary extreme values; -0.0 equals 0.0; a key without values has null quantiles; ties
+values; infinities are ordinary extreme values, in sums too (both signs add to NaN); every other value counts whole in a
+sum, however small or large; -0.0 equals 0.0; a key without values has null sums and quantiles; ties
 and repeated rows are counted each; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -22,6 +23,8 @@ from tessera.session import cut
 
 _MANTISSA = 1 << 52
 DIGITS = (16, 16, 16, 16)
+FEW = 2048  # rows of a bucket that are counted value by value
+EXACT_BELOW = 1e15  # sizes below this are summed as decimals of 6 places, 10^16 of which cannot overflow
 
 
 def ordinal(value: Column) -> Column:
@@ -45,52 +48,57 @@ def from_ordinal(o: Column) -> Column:
     return F.when(o < 0, -a).otherwise(a)
 
 
+def _sums(v: Column) -> list[Column]:
+    """Mergeable parts of a sum: the decimal part of ordinary values, added exactly in whatever order, and what it leaves over."""
+    ordinary = F.abs(v) < F.lit(EXACT_BELOW)
+    exact = F.when(ordinary, v.cast("decimal(22,6)"))
+    return [F.sum(exact).alias("__s"), F.sum(F.when(ordinary, v - exact.cast("double")).when(~F.isnan(v), v)).alias("__r")]
+
+
 def key_profile(df: DataFrame, keys: list[str], value: str, quantiles: list[float], hot_share: float = 0.001, by_index: bool = False) -> DataFrame:
     """One row a key: n_rows, n_values, share (of all rows of ``df``, null keys included), sum_value, min_value, max_value
     and q_<percent> for each quantile q: the smallest value with at least q of the key's values at or below it, or with
     ``by_index`` the value at index min(n - 1, floor(n * q)) of the sorted values."""
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).withColumn("__o", ordinal(F.col("__v")))
-    known = rows.where(" and ".join(f"`{k}` is not null" for k in keys))
+    named = " and ".join(f"`{k}` is not null" for k in keys)
+    known = rows.where(named)
     prefix = lambda done: F.shiftright("__o", 64 - done)
+    extent = [F.count("*").alias("__n"), F.min("__o").alias("__lo"), F.max("__o").alias("__hi")]
 
     done = DIGITS[0]
-    finite = F.when(F.abs("__v") < float("inf"), F.col("__v").cast("decimal(38,6)"))
-    hist = cut(
-        known.groupBy(*keys, prefix(done).alias("__b")).agg(
-            F.count("*").alias("__n"), F.min("__o").alias("__lo"), F.max("__o").alias("__hi"), F.sum(F.when(F.abs("__v") < 1e30, finite)).alias("__s"), F.max(F.abs("__v") >= 1e30).alias("__huge")
-        )
-    )
-    total = df.count()
+    every = cut(rows.groupBy(*keys, prefix(done).alias("__b")).agg(*extent, *_sums(F.col("__v"))))
+    total = every.agg(F.sum("__n")).first()[0] or 0
+    hist = every.where(named)
     profile = hist.groupBy(*keys).agg(
-        F.sum("__n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("__b").isNotNull(), F.col("__n"))), F.lit(0)).alias("n_values"), F.sum("__s").cast("double").alias("sum_value"), F.min("__lo").alias("__min"), F.max("__hi").alias("__max")
+        F.sum("__n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("__b").isNotNull(), F.col("__n"))), F.lit(0)).alias("n_values"), (F.sum("__s").cast("double") + F.sum("__r")).alias("__sum"), F.sum("__r").alias("__r"),
+        F.min("__lo").alias("__min"), F.max("__hi").alias("__max"),
     )
+    profile = profile.withColumn("sum_value", F.coalesce("__sum", "__r")).drop("__sum", "__r")
     profile = profile.withColumn("share", F.col("n_rows") / F.lit(float(max(total, 1))))
-    hot = cut(profile.where(F.col("share") >= hot_share).select(*keys)) if quantiles else None
-
-    # a bracket: a key's bucket and the rank wanted inside it
-    n = F.col("n_values")
-    rank = lambda q: F.least(n, F.floor(n * F.lit(q)) + 1) if by_index else F.greatest(F.lit(1), F.ceil(n * F.lit(q) - F.lit(1e-9)))
-    wanted = F.explode(F.array(*(F.struct(F.lit(q).alias("__q"), rank(q).cast("long").alias("__rank")) for q in quantiles))) if quantiles else None
     found = None
     if quantiles:
-        ranks = profile.where("n_values > 0").select(*keys, wanted.alias("__w")).select(*keys, "__w.*")
-        open_ = _locate(hist.where("__b is not null"), ranks, keys)
-        found = None
+        # a bracket: a key's bucket and the rank wanted inside it
+        n = F.col("n_values")
+        rank = lambda q: F.least(n, F.floor(n * F.lit(q)) + 1) if by_index else F.greatest(F.lit(1), F.ceil(n * F.lit(q) - F.lit(1e-9)))
+        wanted = F.explode(F.array(*(F.struct(F.lit(q).alias("__q"), rank(q).cast("long").alias("__rank")) for q in quantiles)))
+        hot = cut(profile.where(F.col("share") >= hot_share).select(*keys))
+        open_ = _locate(hist.where("__b is not null"), profile.where("n_values > 0").select(*keys, wanted.alias("__w")).select(*keys, "__w.*"), keys)
+        on = [*keys, "__p"]
         while True:
             settled = open_.where("__lo = __hi").select(*keys, "__q", F.col("__lo").alias("__o"))
             found = settled if found is None else found.unionByName(settled)
             open_ = open_.where("__lo < __hi")
             if done >= 64 or open_.isEmpty():
                 break
-            target = open_.select(*keys, F.col("__b").alias("__p")).distinct()
+            target = open_.select(*keys, F.col("__b").alias("__p"), (F.col("__n") <= FEW).alias("__few")).distinct()
             held = known.where("__o is not null").withColumn("__p", prefix(done))
-            on = [*keys, "__p"]
             hot_target = F.broadcast(target.join(F.broadcast(hot), keys, "left_semi"))
             cold_target = target.join(F.broadcast(hot), keys, "left_anti")
-            narrowed = held.join(hot_target, on, "left_semi").unionByName(held.join(F.broadcast(hot), keys, "left_anti").join(cold_target, on, "left_semi"))
-            step = DIGITS[done // 16]
-            done += step
-            finer = narrowed.groupBy(*on, prefix(done).alias("__b")).agg(F.count("*").alias("__n"), F.min("__o").alias("__lo"), F.max("__o").alias("__hi"))
+            narrowed = held.join(hot_target, on).unionByName(held.join(F.broadcast(hot), keys, "left_anti").join(cold_target, on))
+            done += DIGITS[done // 16]
+            # a bucket of few rows is counted by its values at once, which settles it in this round; a larger one by the next bits
+            digit = F.when(F.col("__few"), F.col("__o")).otherwise(prefix(done))
+            finer = narrowed.groupBy(*on, "__few", digit.alias("__b")).agg(*extent)
             open_ = _locate(finer, open_.select(*keys, "__q", "__rank", F.col("__b").alias("__p")), on)
     out = profile
     if found is not None:
@@ -106,7 +114,7 @@ def _locate(hist: DataFrame, ranks: DataFrame, on: list[str]) -> DataFrame:
     w = Window.partitionBy(*on).orderBy("__b")
     below = hist.withColumn("__upto", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     hit = ranks.join(below, on).where("__rank <= __upto and __rank > __upto - __n")
-    out = hit.select(*[k for k in on if k != "__p"], "__q", (F.col("__rank") - (F.col("__upto") - F.col("__n"))).alias("__rank"), "__b", "__lo", "__hi")
+    out = hit.select(*[k for k in on if k != "__p"], "__q", (F.col("__rank") - (F.col("__upto") - F.col("__n"))).alias("__rank"), "__b", "__n", "__lo", "__hi")
     return cut(out)
 
 

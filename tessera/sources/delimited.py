@@ -16,6 +16,7 @@ import csv
 import io
 import re
 import sys
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -77,17 +78,64 @@ def _quotes_in_place(raw: str, delimiter: str) -> bool:
         at = end + 1
 
 
-def assemble(lines: Iterable[str]) -> Iterator[str]:
-    """Join physical lines into records: a line break inside an open quote belongs to the record."""
-    held, quotes = [], 0
-    for line in lines:
-        held.append(line)
-        quotes += line.count('"')
-        if quotes % 2 == 0:
-            yield "".join(held)
-            held, quotes = [], 0
-    if held:
-        yield "".join(held)
+def _open_after(text: str, delimiter: str, inside: bool) -> bool | None:
+    """Whether a quoted field is still open where ``text`` ends (``inside``: one was open where it begins); None where a closing
+    quote is followed by anything but the delimiter or the line's end, so that the quoting is broken there."""
+    at = 0
+    while True:
+        if not inside:
+            if not text.startswith('"', at):  # an unquoted field: quotes in it open nothing
+                at = text.find(delimiter, at) + 1
+                if not at:
+                    return False
+                continue
+            at += 1
+        while (end := text.find('"', at)) >= 0 and text.startswith('"', end + 1):
+            at = end + 2
+        if end < 0:
+            return True
+        inside, at = False, end + 1
+        if text.startswith(delimiter, at):
+            at += 1
+        else:
+            return False if text[at:] in ("", "\n", "\r\n", "\r") else None
+
+
+def assemble(lines: Iterable[str], delimiter: str = "\t", whole: Callable[[str], bool] | None = None) -> Iterator[str]:
+    """Join physical lines into records: a line break inside a quoted field belongs to the record.
+
+    Only a quote at the start of a field opens one.  If the quoting of the lines joined turns out to be broken, is never closed, or one
+    of the lines taken in is a record of its own (``whole`` says so), only the first line is given out as the broken record
+    and reading goes on with the second, so that a stray quote costs no line but its own."""
+    held: deque[str] = deque()  # lines read ahead
+    source = iter(lines)
+    while True:
+        line = held.popleft() if held else next(source, None)
+        if line is None:
+            return
+        state = _open_after(line, delimiter, False)
+        taken = [line]
+        ahead = 0
+        while state:
+            if ahead == len(held):
+                more = next(source, None)
+                if more is None:
+                    state = None
+                    break
+                held.append(more)
+            more = held[ahead]
+            if whole and whole(more):  # so that no more is read ahead than up to the next good line
+                state = None
+                break
+            taken.append(more)
+            ahead += 1
+            state = _open_after(more, delimiter, True)
+        if state is None or len(taken) == 1:
+            yield line
+        else:
+            for _ in range(ahead):
+                held.popleft()
+            yield "".join(taken)
 
 
 def parse_record(raw: str | None, fields: list[Field], delimiter: str = "\t") -> tuple[str | None, list[Any]]:
@@ -130,7 +178,8 @@ def parse_delimited(df: DataFrame, raw: str, fields: list[Field], delimiter: str
 
 
 def read_delimited(spark: SparkSession, path: str, fields: list[Field], delimiter: str = "\t") -> DataFrame:
-    """Records of text files, quoted line breaks included.  Files are the unit of work: one file is read by one task."""
+    """Records of text files, quoted line breaks included.  Files are the unit of work: one file is read by one task.  A line that
+    is a valid record of its own is never taken into another record."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("body"))
     lines = T.StructType([T.StructField("source_file", T.StringType()), T.StructField("raw_line", T.StringType())])
 
@@ -138,7 +187,7 @@ def read_delimited(spark: SparkSession, path: str, fields: list[Field], delimite
         for batch in batches:
             for path_, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held: list[str] = []
-                for record in assemble(io.StringIO(body, newline="\n")):
+                for record in assemble(io.StringIO(body, newline="\n"), delimiter, lambda line: parse_record(line, fields, delimiter)[0] is None):
                     held.append(record)
                     if len(held) >= 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array([path_] * len(held)), pa.array(held)], names=lines.names)

@@ -71,3 +71,27 @@ def test_records_of_files(spark, tmp_path):
 @pytest.mark.parametrize("text", ['a\nb\n"c\nd"\n', '"x\n\n"\ny', ""])
 def test_assemble_keeps_all_text(text):
     assert "".join(D.assemble(text.splitlines(keepends=True))) == text
+
+
+STRAY = [line(remark='5" pipe'), line(remark='"never closed'), line(pdb_id='"1ABC'), line(remark='"closed" late'), line(ccd_id='AT"P'), line(release_date='"2020-02-29'), '"', 'x\t"']
+
+
+@pytest.mark.parametrize("stray", STRAY)
+def test_a_stray_quote_costs_its_own_line_only(stray):
+    good = [line(remark=f"row {i}") for i in range(3)] + [line(remark='"two\nlines"')]
+    text = "\n".join([good[0], stray, *good[1:]]) + "\n"
+    records = list(D.assemble(text.splitlines(keepends=True), whole=lambda x: D.parse_record(x, ANNOTATION)[0] is None))
+    assert "".join(records) == text
+    read = [D.parse_record(r, ANNOTATION) for r in records]
+    assert [v[7] for r, v in read if r is None] == ["row 0", "row 1", "row 2", "two\nlines"] and len(read) == 5
+
+
+def test_good_lines_of_a_file_with_many_stray_quotes(spark, tmp_path):
+    lines, good = [], []
+    for i in range(400):
+        lines.append(STRAY[i % len(STRAY)] if i % 3 == 0 else line(remark=f'"a\n{i}"' if i % 7 == 0 else str(i)))
+        if i % 3:
+            good.append(f"a\n{i}" if i % 7 == 0 else str(i))
+    (tmp_path / "a.tsv").write_text("\n".join(lines) + "\n")
+    out = D.read_delimited(spark, str(tmp_path), ANNOTATION)
+    assert sorted(r.remark for r in D.accepted(out).collect()) == sorted(good)

@@ -35,6 +35,8 @@ def test_profile_against_brute_force(spark):
             want = known[max(1, math.ceil(len(known) * q - 1e-9)) - 1] if known else None
             assert r[name] == want, (key, q)
         assert (r.min_value, r.max_value) == ((known[0], known[-1]) if known else (None, None))
+        if known and not math.isinf(known[0]) and abs(known[-1]) < 1e300:
+            assert math.isclose(r.sum_value, math.fsum(known))
 
 
 def test_empty_and_hot(spark):
@@ -42,3 +44,22 @@ def test_empty_and_hot(spark):
     assert skew.key_profile(empty, ["k"], "v", [0.5]).count() == 0
     df = spark.createDataFrame([("a", 1.0)] * 98 + [("b", 2.0)] * 2, "k string, v double")
     assert [r.k for r in skew.hot_keys(skew.key_profile(df, ["k"], "v", [0.5]), 0.05).collect()] == ["a"]
+
+
+def test_sums_leave_no_value_out(spark):
+    cases = {"tiny": [1e-7, 2e-7], "huge": [1e31, 5.0], "inf": [math.inf, 1.0], "low": [-math.inf, 1.0], "both": [math.inf, -math.inf], "mixed": [1e14, 0.25, -1e14, 1e-9], "nan": [math.nan, None], "half": [2.5, math.nan], "many": [1e16] * 100}
+    df = spark.createDataFrame([(k, v) for k, vs in cases.items() for v in vs], "k string, v double")
+    got = {r.k: r.sum_value for r in skew.key_profile(df, ["k"], "v", []).collect()}
+    want = {"tiny": 3e-7, "huge": 1e31, "inf": math.inf, "low": -math.inf, "mixed": 0.250000001, "half": 2.5, "many": 1e18}
+    assert got["nan"] is None and math.isnan(got["both"])
+    assert all(got[k] == v or math.isclose(got[k], v, rel_tol=1e-12) for k, v in want.items()), got
+
+
+def test_large_buckets_are_refined(spark, monkeypatch):
+    monkeypatch.setattr(skew, "FEW", 8)
+    rng = random.Random(3)
+    rows = [(k, 1 + rng.random() * 1e-3) for k, n in (("a", 4000), ("b", 5), ("c", 60)) for _ in range(n)]
+    got = {r.k: (r.q_10, r.q_50) for r in skew.key_profile(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", [0.1, 0.5]).collect()}
+    for k in "abc":
+        v = sorted(x for key, x in rows if key == k)
+        assert got[k] == tuple(v[math.ceil(len(v) * q - 1e-9) - 1] for q in (0.1, 0.5))
