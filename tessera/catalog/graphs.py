@@ -76,7 +76,7 @@ def opening_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (neighbourhood, neighbourhood_capped, inner_edges, annotated_nodes, bridge_edges, self_edges, all_edges, node_degrees, busiest_node, opening_edges)}
 
-_E = "e AS (SELECT *, row_number() OVER (ORDER BY src, dst) AS edge_id FROM (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity >= 49))"
+_E = "e AS (SELECT *, row_number() OVER (ORDER BY src, dst) AS edge_id FROM (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey))"
 _L = "l AS (SELECT edge_id, src AS node, dst AS other, 0 AS side FROM e UNION ALL SELECT edge_id, dst, src, 1 FROM e)"
 _H1 = "h0 AS (SELECT 's7' AS node), h1 AS (SELECT other AS node, min((edge_id, side)) AS f FROM l JOIN h0 USING (node) WHERE other NOT IN (SELECT node FROM h0) GROUP BY 1)"
 _H2 = "h2 AS (SELECT other AS node, min((edge_id, side)) AS f FROM l JOIN h1 USING (node) WHERE other NOT IN (SELECT node FROM h0 UNION SELECT node FROM h1) GROUP BY 1)"

@@ -192,7 +192,7 @@ SQL = {
     "claimed_class": f"WITH {BRIDGE_SQL}, p AS (SELECT ccd_id, min(list_position(['metal', 'cofactor', 'inhibitor', 'linker'], ccd_class)) AS i FROM br WHERE ccd_id IS NOT NULL AND ccd_class IN ('metal', 'cofactor', 'inhibitor', 'linker') GROUP BY 1) SELECT ccd_id, ['metal', 'cofactor', 'inhibitor', 'linker'][i] AS ccd_class FROM p",
     "unambiguous_class": f"WITH {BRIDGE_SQL} SELECT ccd_id, min(ccd_class) AS ccd_class FROM br WHERE ccd_id IS NOT NULL AND ccd_class IS NOT NULL GROUP BY 1 HAVING count(DISTINCT ccd_class) = 1",
     "class_counts": f"WITH {BRIDGE_SQL} SELECT ccd_class, count(*) AS n, max(dsasa_total) AS largest, count(DISTINCT pdb_id) AS n_entries FROM br WHERE status = 'ok' GROUP BY 1",
-    "class_moments": f"WITH {BRIDGE_SQL} SELECT ccd_class, avg(dsasa_total) AS mean, stddev_pop(dsasa_total) AS deviation, min(dsasa_total) AS smallest, max(dsasa_total) AS largest, median(dsasa_total) AS median FROM br WHERE dsasa_total BETWEEN 0 AND 5000 GROUP BY 1",
+    "class_moments": f"WITH {BRIDGE_SQL} SELECT ccd_class, avg(dsasa_total) AS mean, stddev_pop(dsasa_total) AS deviation, min(dsasa_total) AS smallest, max(dsasa_total) AS largest, median(dsasa_total) AS median FROM br WHERE dsasa_total IS NOT NULL AND NOT isnan(dsasa_total) GROUP BY 1",
     "entry_pairs": f"WITH {BRIDGE_SQL} SELECT ccd_class, count(DISTINCT (pdb_id, ccd_id)) AS n_pairs FROM br WHERE pdb_id IS NOT NULL AND ccd_id IS NOT NULL GROUP BY 1",
     "representatives": f"WITH {BRIDGE_SQL} SELECT pdb_id, ccd_id, bridging_balance, dsasa_total, id, structure_file FROM br WHERE pdb_id IS NOT NULL AND ccd_id IS NOT NULL AND bridging_balance IS NOT NULL AND dsasa_total IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pdb_id, ccd_id ORDER BY bridging_balance DESC, dsasa_total DESC, id DESC) = 1",
     "pair_series": f"{_SERIES} SELECT * FROM g",

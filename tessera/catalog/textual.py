@@ -61,7 +61,7 @@ def motif_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def aligned_cores(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "zinc_finger").where("core is not null").select("id", scalars.aligned(F.substring("core", 1, 20)).alias("core"))
+    return table(spark, sf, "zinc_finger").where("core is not null").select("id", scalars.aligned(F.col("core")).alias("core"))
 
 
 def core_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,7 +102,7 @@ def normalised_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").where("text is not null")
-    return d.select("doc_id", F.size(X.sentences(F.col("text"), 20, 300)).alias("n_sentences"))
+    return d.select("doc_id", F.size(X.sentences(F.col("text"))).alias("n_sentences"))
 
 
 def numerals_added(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,23 +163,23 @@ QUERIES = {
 }
 
 _LETTERS = "".join(GROUPS.values())
-_ASCII = r"regexp_replace(text, '[^\x20-\x7e]', ' ', 'g')"
-_PLAIN = rf"trim(regexp_replace(regexp_replace({_ASCII}, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), ' ')"
+#: White space of any script, as the engine's class has it.
+_PLAIN = r"trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '[\t-\r\x1c- \x85\p{Z}]+', ' ', 'g'), ' ')"
 SQL = {
     "side_balance": f"WITH {BRIDGE_SQL} SELECT id, CASE WHEN dsasa_a IS NULL OR dsasa_b IS NULL THEN NULL WHEN dsasa_a <= 0 OR dsasa_b <= 0 THEN 0 ELSE round_even(least(dsasa_a, dsasa_b) / greatest(dsasa_a, dsasa_b), 6) END AS balance FROM br",
     "capped_score": f"WITH {BRIDGE_SQL} SELECT id, round(least(1, coalesce(dsasa_total, 0) / 800) * 0.5::DOUBLE + least(1, coalesce(contacts_a, 0) / 20) * 0.3::DOUBLE + least(1, coalesce(contacts_b, 0) / 20) * 0.2::DOUBLE, 9) AS score FROM br",
     "rule_classes": rf"WITH {LIGAND_SQL}, r AS (SELECT ccd_id, CASE WHEN heavy_atoms = 1 THEN 'ion|one_atom' WHEN mw > 900 THEN 'large|heavy' WHEN regexp_matches(lower(name), '(in|ole)$') THEN 'drug_like|name_in' WHEN heavy_atoms <= 8 THEN 'small|small' WHEN regexp_matches(formula, '\bZn[0-9]*\b') THEN 'metal|zinc' ELSE 'other|none' END AS r FROM lig) SELECT ccd_id, split_part(r, '|', 1) AS class, split_part(r, '|', 2) AS rule FROM r",
-    "formula_atoms": rf"WITH {LIGAND_SQL}, t AS (SELECT ccd_id, formula, regexp_extract_all(formula, '\b([A-Z][A-Za-z]?[0-9]*)\b', 1) AS ts FROM lig), s AS (SELECT ccd_id, formula, len(ts) AS n, list_sum([CASE WHEN upper(regexp_extract(x, '^([A-Za-z]+)', 1)) IN ('H', 'D') THEN 0 ELSE coalesce(try_cast(regexp_extract(x, '([0-9]+)$', 1) AS INTEGER), 1) END for x in ts]) AS a FROM t) SELECT ccd_id, CASE WHEN formula IS NULL OR n = 0 THEN NULL WHEN a = 0 THEN 1 ELSE CAST(a AS BIGINT) END AS atoms, CASE WHEN NOT regexp_matches(trim(formula, ' '), '\s') AND regexp_full_match(trim(regexp_replace(formula, '[0-9+\-]', '', 'g'), ' '), '[A-Za-z]{{1,2}}') THEN upper(trim(regexp_replace(formula, '[0-9+\-]', '', 'g'), ' ')) END AS element FROM s",
+    "formula_atoms": rf"WITH {LIGAND_SQL}, t AS (SELECT ccd_id, formula, list_filter(string_split_regex(formula, '\s+'), lambda x: regexp_full_match(x, '[A-Za-z]{{1,2}}[0-9]*') AND upper(regexp_extract(x, '^[A-Za-z]+')) NOT IN ('H', 'D', 'T')) AS ts FROM lig) SELECT ccd_id, CAST(list_sum([coalesce(try_cast(regexp_extract(x, '([0-9]+)$', 1) AS INTEGER), 1) for x in ts]) AS BIGINT) AS atoms, CASE WHEN NOT regexp_matches(trim(formula, ' '), '\s') AND regexp_full_match(trim(regexp_replace(formula, '[0-9+\-]', '', 'g'), ' '), '[A-Za-z]{{1,2}}') THEN upper(trim(regexp_replace(formula, '[0-9+\-]', '', 'g'), ' ')) END AS element FROM t",
     "named_rules": f"WITH {LIGAND_SQL} SELECT ccd_id, CASE WHEN lower(name) LIKE '%azole%' AND heavy_atoms >= 20 THEN 'azole' WHEN lower(name) LIKE '%amide%' AND NOT heavy_atoms >= 20 THEN 'small_amide' WHEN smiles LIKE '%c1%' AND heavy_atoms >= 20 THEN 'aromatic' ELSE 'other' END AS class FROM lig",
     "tiers": f"WITH {ENTRY_SQL}, s AS (SELECT pdb_id, greatest(1, coalesce(polymer_entity_count, 1)) * greatest(1, coalesce(nonpolymer_entity_count, 1)) AS size_proxy FROM ent) SELECT *, CASE WHEN size_proxy < 4 THEN 'light' WHEN size_proxy < 12 THEN 'middle' ELSE 'heavy' END AS tier_name FROM s",
-    "aligned_cores": "SELECT id, rpad(left(core, 20), 23, '-') AS core FROM zinc_finger WHERE core IS NOT NULL",
+    "aligned_cores": "SELECT id, rpad(left(core, 23), 23, '-') AS core FROM zinc_finger WHERE core IS NOT NULL",
     "core_features": f"SELECT id, {23 * len(GROUPS)} AS width, len(regexp_replace(left(rpad(core, 23, '-'), 23), '[^{_LETTERS}]', '', 'g')) AS ones, CASE WHEN regexp_matches(core, '^[{_LETTERS}]') THEN 1 ELSE 0 END AS first_ones FROM zinc_finger WHERE core IS NOT NULL",
     "weighted_positions": "WITH p AS (SELECT unnest(range(len(core))) AS pos, core FROM zinc_finger WHERE core IS NOT NULL) SELECT pos, count(*) AS n, count(*) FILTER (core[pos + 1] IN ('K', 'R', 'H')) AS n_positive FROM p GROUP BY 1",
     "interface_json": "SELECT id, json_array_length(interface_residues_a) AS n_residues FROM bridge WHERE json_valid(interface_residues_a) AND json_type(CASE WHEN json_valid(interface_residues_a) THEN interface_residues_a END) = 'ARRAY'",
     "evidence_json": """WITH e AS (SELECT id, ccd_class, contacts_a FROM bridge) SELECT id, '{' || concat_ws(',', CASE WHEN ccd_class IS NOT NULL THEN '"ccd_class":"' || ccd_class || '"' END, CASE WHEN contacts_a IS NOT NULL THEN '"contacts_a":' || contacts_a END) || '}' AS evidence FROM e""",
     "ratios": f"WITH {BRIDGE_SQL} SELECT id, dsasa_a / nullif(dsasa_total, 0) AS share_a, dsasa_a + dsasa_b - dsasa_total AS left_over FROM br",
     "normalised_text": f"WITH t AS (SELECT doc_id, {_PLAIN} AS p FROM documents WHERE text IS NOT NULL) SELECT doc_id, length(p) AS n_plain, left(sha256(lower(p)), 12) AS content_id FROM t",
-    "sentence_counts": rf"WITH t AS (SELECT doc_id, string_split(regexp_replace({_PLAIN}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(list_filter(s, lambda x: length(x) BETWEEN 20 AND 300)) AS n_sentences FROM t",
+    "sentence_counts": rf"WITH t AS (SELECT doc_id, string_split(regexp_replace({_PLAIN}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(list_filter(s, lambda x: x <> '')) AS n_sentences FROM t",
     "numerals_added": r"WITH t AS (SELECT sample_id, list_distinct(regexp_extract_all(prompt, '([0-9]+(?:\.[0-9]+)?)', 1)) AS a, regexp_extract_all(coalesce(composition, ''), '([0-9]+(?:\.[0-9]+)?)', 1) AS b FROM task_sample WHERE prompt IS NOT NULL) SELECT sample_id, array_to_string(list_sort(list_filter(a, lambda x: x NOT IN ('3', '2') AND NOT list_contains(b, x))), ' ') AS added FROM t",
     "harvested_codes": r"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\b([1-9][A-Z][A-Z0-9]{2})\b', 1))) AS code FROM documents WHERE text IS NOT NULL",
     "keyword_documents": "SELECT coalesce(lower(text) LIKE '%mask%' OR lower(text) LIKE '%dewar%' OR lower(text) LIKE '%plasmid%', false) AS has_word, count(*) AS n FROM documents GROUP BY 1",

@@ -35,11 +35,10 @@ def bucketed(value: Column, edges: list[tuple[float, str]], above: str) -> Colum
 
 
 def heavy_atoms(formula: Column) -> Column:
-    """Atoms other than hydrogen and deuterium in a spaced formula such as ``C8 H9 N O2``; null if there is none."""
-    each = F.transform(F.regexp_extract_all(formula, F.lit(r"\b([A-Z][A-Za-z]?\d*)\b"), F.lit(1)), lambda t: F.struct(F.regexp_extract(t, r"^([A-Za-z]+)", 1).alias("e"), F.coalesce(F.regexp_extract(t, r"(\d+)$", 1).try_cast("int"), F.lit(1)).alias("n")))
-    heavy = F.filter(each, lambda t: ~F.upper(t["e"]).isin("H", "D"))
-    total = F.aggregate(heavy, F.lit(0), lambda acc, t: acc + t["n"])
-    return F.when(formula.isNull() | (F.size(each) == 0), None).when(total == 0, F.lit(1)).otherwise(total)
+    """Atoms that are no hydrogen (H, D or T) in a spaced formula such as ``C8 H9 N O2``; null if there is none."""
+    each = F.transform(F.split(formula, r"\s+"), lambda t: F.struct(F.upper(F.regexp_extract(t, r"^([A-Za-z]{1,2})\d*$", 1)).alias("e"), F.coalesce(F.regexp_extract(t, r"(\d+)$", 1).try_cast("int"), F.lit(1)).alias("n")))
+    heavy = F.filter(each, lambda t: ~t["e"].isin("", "H", "D", "T"))
+    return F.when(F.size(heavy) > 0, F.aggregate(heavy, F.lit(0), lambda acc, t: acc + t["n"]))
 
 
 def single_element(formula: Column) -> Column:

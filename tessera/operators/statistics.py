@@ -80,7 +80,7 @@ def weighted_correlation(df: DataFrame, x: str, y: str, w: str, name: str) -> Da
 
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
-    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.lit(1).alias("w"))
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.lit(1).alias("w")).where("not isnan(x) and not isnan(y)")
     return weighted_correlation(known, "x", "y", "w", "pearson")
 
 
