@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.query import Query
-from tessera.plans.schema import QueryError, RecordType, is_nan
+from tessera.plans.schema import QueryError, RecordType, is_nan, listing
 
 _APPLY: dict[str, Callable] = {"eq": eq, "ne": ne, "lt": lt, "lte": le, "gt": gt, "gte": ge}
 
@@ -55,7 +55,7 @@ class Planner:
         kind = query.record_type
         chosen = list(wanted or kind.columns)
         if bad := [c for c in chosen if c not in kind.selectable()]:
-            raise QueryError(f"{kind.name} has no column {', '.join(bad)}; its columns are {', '.join(sorted(kind.selectable()))}")
+            raise QueryError(("columns", f"{kind.name} cannot give {listing(bad)}, only {listing(sorted(kind.selectable()))}"))
         return list(dict.fromkeys([*kind.identity, *chosen]))
 
     def base_first(self, query: Query) -> bool:
