@@ -48,15 +48,39 @@ def test_leaks_against_brute_force(spark):
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
-def test_blocks_and_empty(spark, monkeypatch):
-    monkeypatch.setattr(M, "BLOCK_CHARS", 60)
+def test_blocks_and_empty(spark):
     passage = "one two three four five six seven eight nine ten eleven twelve"
-    d = spark.createDataFrame([(1, f"x {passage} y"), (2, f"x {passage.upper()}. thirteen")], "doc_id bigint, text string")
+    d = spark.createDataFrame([(1, f"x {passage} y"), (2, f"x {passage.upper()}. thirteen"), (3, f"x {passage} y"), (None, passage)], "doc_id bigint, text string")
     it = spark.createDataFrame([(i, passage if i % 2 else f"{passage} thirteen") for i in range(6)], "item_id bigint, text string")
-    got = {(r.doc_id, r.item_id) for r in M.leaks(d, it).collect()}
-    assert got == {(a, b) for a in (1, 2) for b in range(6)}
+    once = sorted(map(tuple, M.leaks(d, it).collect()))
+    assert {x[:2] for x in once} == {(a, b) for a in (1, 2, 3) for b in range(6)}
+    for size in (60, 130, 200):  # one, two and three items a block
+        assert sorted(map(tuple, M.leaks(d, it, block_chars=size).collect())) == once
     assert M.leaks(d.limit(0), it).count() == 0 and M.leaks(d, it.limit(0)).count() == 0
 
 
+def test_every_word_is_indexed_in_every_shard(spark):
+    """Indexes answer phrases that were not known when they were built, and hold all words."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(rng.randrange(60))) for _ in range(80)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    shards = M.indexes(d, "doc_id", "text", shard_words=300).collect()
+    assert len(shards) > 4
+    held = [M.pickle.loads(s["index"]) for s in shards]
+    assert sum(state[0] - 1 - len(owners) for state, _, _, owners in held) == sum(len(t.split()) for t in dict.fromkeys(texts))
+    for k in rng.sample(range(80), 20):
+        w = texts[k].split()
+        if len(w) >= 3:
+            block = M.Block([(k, " ".join(w[1:3]))], 2)
+            assert k in {r[0] for s in shards for r in M._hits(s["index"], s["texts"], block)}
+
+
+def test_suffix_order():
+    rng = np.random.default_rng(3)
+    for n, top in ((1, 1), (2, 1), (50, 2), (400, 1), (500, 1 << 21), (300, 3)):
+        s = np.append(rng.integers(1, top + 1, n), 0)
+        assert M.suffix_order(s).tolist() == sorted(range(n + 1), key=lambda i: s[i:].tolist())
+
+
 def test_words():
     assert M.words("Foo_bar ba­z​q, x2²! Ünï É") == ["foo", "bar", "bazq", "x2²", "ünï", "é"]
