@@ -1,13 +1,14 @@
 """Same or nearly the same requests on both sides of a split, by similarity-hash fingerprints.
 
-A request is read into conditions (field, comparison, value): letter case, spacing, punctuation, slips of one
-letter, filler words, interchangeable words, clause order and the writing of numbers and units all vanish.  Its
-features (values, fields with comparisons, or plain words where nothing can be read) are summed into a 64-bit
-similarity hash.  Rows with equal features form a class; classes of the two sides are joined on segments of the
-hash within the record type (``RADIUS`` + 1 segments, so that no pair within the radius is lost), kept within the
-Hamming radius, and verified: the same conditions, or, where one of them cannot be read in full, the same values,
-fields and comparisons and nearly the same words.  Only then are classes expanded to their rows, so copies of one
-request never meet each other in the join.
+A request's text is reduced to words and numbers (letter case, spacing, punctuation and the writing of numbers vanish).
+Its features, the letter triples of each word and, with more weight, each number, are summed into a 64-bit similarity
+hash, so that slips, filler and interchanged words move few bits and a change of order none.  Rows of the same words in
+the same order form a class; classes of the two sides that have the same numbers are joined on segments of the hash
+(``SEGMENTS``; no pair within ``SURE`` bits can be missed), kept within the Hamming ``RADIUS``, and verified: a ``Grammar``
+reads both texts into conditions (field, comparison, value), which must be the same; where it cannot read one in
+full, the declared pairs (where both have them) must be the same and the numbers with the words before each nearly so.  The vocabulary is an
+argument and plays no part in the hash; copies of one text never meet each other in the join.  ``overlaps`` gives pairs
+of rows, ``class_pairs`` classes, their members and the links between classes.
 
 Defined results: null and blank prompts ask for nothing and match nothing; a null or untidy composition only
 withholds a check; repeated rows are each reported; rows of a split that is neither side are ignored; a null
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal
 from functools import reduce
@@ -31,9 +32,11 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut
 
-SEGMENTS = [(0, 22), (22, 21), (43, 21)]
-RADIUS = len(SEGMENTS) - 1
+SEGMENTS = [(6 * i - max(0, i - 4), 6 if i < 4 else 5) for i in range(12)]  # (first bit, width): 4 of 6 bits, 8 of 5
+SURE = len(SEGMENTS) - 1
+RADIUS = 24
 SIMILAR = 0.8
+NUMBER_WEIGHT, PIECE_WEIGHT = 6.0, 0.25
 _TOKEN = re.compile(r"\d+(?:,\d{3})+(?!\d)(?:\.\d+)?|\d+[.,]\d+|\.\d+|\d+|[^\W\d_][^\W_]*|!=|[<>]=?|[=≤≥≠]|,")
 _PAIR = re.compile(r"([a-z0-9_]+)\s*:\s*([a-z]+)")
 
@@ -59,7 +62,7 @@ class Grammar:
             if len(w) > 3:
                 for x in {w, *_shorter(w)}:
                     near.setdefault(x, []).append(w)
-        for name, value in (("phrases", phrases), ("near", near), ("known", frozenset(words)), ("longest", max(map(len, phrases)))):
+        for name, value in (("phrases", phrases), ("near", near), ("known", frozenset(words)), ("longest", max(map(len, phrases), default=1))):
             object.__setattr__(self, name, value)
 
     def mend(self, word: str) -> str:
@@ -157,69 +160,108 @@ def read(prompt: str, grammar: Grammar, mended: dict[str, str]) -> Request:
     return Request(sorted(conditions), sorted(values), sorted({t for t in tokens if t != ","}), bool(conditions) and not left and not name and not op and not early)
 
 
-def simhash(features: list[tuple[str, int]]) -> int:
-    if not features:
-        return 0
-    bits = np.unpackbits(np.array([xxhash.xxh64_intdigest(f) for f, _ in features], dtype=np.uint64).view(np.uint8).reshape(len(features), 8), axis=1)
-    votes = np.array([w for _, w in features]) @ (bits.astype(np.int64) * 2 - 1)
-    return int(np.packbits(votes > 0).view(np.int64)[0])
+def signs(feature: str) -> np.ndarray:
+    """64 signs from a hash of a feature."""
+    return np.unpackbits(np.array([xxhash.xxh64_intdigest(feature)], dtype=np.uint64).view(np.uint8)).astype(np.float32) * 2 - 1
+
+
+class Votes(dict):
+    """What each word or number adds to the sum of its text's signs; remembered up to a size."""
+
+    def __missing__(self, token: str) -> np.ndarray:
+        if token[0].isalpha():
+            whole = f"^{token}$"
+            votes = PIECE_WEIGHT * np.sum([signs(whole[i : i + 3]) for i in range(len(whole) - 2)], axis=0)
+        else:
+            votes = NUMBER_WEIGHT * signs(f"number {token}")
+        if len(self) < 100_000:
+            self[token] = votes
+        return votes
+
+
+_PLAIN = re.compile(r"\d+(?:,\d{3})+(?!\d)(?:\.\d+)?|\d+[.,]\d+|\.\d+|\d+|[^\W\d_][^\W_]*")
+
+
+def plain(prompt: str) -> list[str]:
+    """Words and numbers of a request, as compared."""
+    return [t if t[0].isalpha() else number(t) if t.isascii() else t for t in _PLAIN.findall(unicodedata.normalize("NFKC", prompt).lower())]
+
+
+def simhash(tokens: Iterable[str], votes: Votes) -> int:
+    """64 bits of the sum of the votes of the distinct words and numbers."""
+    held = [votes[t] for t in dict.fromkeys(tokens)]
+    return int(np.packbits(np.sum(held, axis=0) > 0).view(np.int64)[0]) if held else 0
+
+
+def placed(tokens: list[str]) -> list[str]:
+    """Each word with the number it comes before, and each number: what the words say of which value."""
+    out, value = set(), ""
+    for t in reversed(tokens):
+        if not t[0].isalpha():
+            value = t
+            out.add(t)
+        elif value:
+            out.add(f"{value} {t}")
+    return sorted(out) or sorted(set(tokens))
 
 
 def fingerprints(df: DataFrame, row_id: str, split: str, group: str, prompt: str, composition: str, grammar: Grammar) -> DataFrame:
-    """id, split, group, sig, pairs (field:comparison list), vals, words, complete and the 64-bit code of every readable row."""
+    """Every readable row: id, split, group, hash of its words (cls) and of its numbers (vals), the 64-bit code, and what verification
+    needs: conditions read (sig), whether they are complete, declared field:comparison pairs, words with their numbers."""
     src = df.select(F.col(row_id).cast("bigint"), F.col(split).cast("string"), F.col(group).cast("string"), F.col(prompt).cast("string"), F.col(composition).cast("string"))
-    schema = "id bigint, split string, group string, sig string, pairs string, vals string, words array<string>, complete boolean, code bigint"
-    names = ["id", "split", "group", "sig", "pairs", "vals", "words", "complete", "code"]
+    names = ["id", "split", "group", "cls", "vals", "code", "sig", "complete", "pairs", "placed"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mended: dict[str, str] = {}
+        votes = Votes()
         for batch in batches:
             rows = []
             for row, side, kind, text, declared in zip(*(c.to_pylist() for c in batch.columns)):
-                if row is None or side is None or kind is None or text is None or not text.strip():
+                if row is None or side is None or kind is None or text is None or not (tokens := plain(text)):
                     continue
                 r = read(text, grammar, mended)
+                side, kind = side.strip().lower(), kind.strip().lower()
                 pairs = sorted(f"{f}:{o}" for f, o, _ in r.conditions)
                 stated = sorted(f"{f}:{o}" for f, o in _PAIR.findall(declared.lower())) if declared else None
                 complete = r.complete and (not stated or stated == pairs)
-                pairs = stated or pairs
-                features = [(f"v {v} {i}", 3) for i, v in enumerate(r.values)] + [(f"p {p}", 1) for p in pairs] if r.values else [(f"w {w}", 1) for w in r.words]
-                sig = "; ".join(" ".join(c) for c in r.conditions)
-                rows.append((row, side.strip().lower(), kind.strip().lower(), sig, " ".join(pairs), " ".join(r.values), r.words, complete, simhash(features)))
-            types = [pa.int64(), *[pa.string()] * 5, pa.list_(pa.string()), pa.bool_(), pa.int64()]
+                numbers = " ".join(sorted(t for t in tokens if not t[0].isalpha()))
+                sig = "; ".join(" ".join(c) for c in r.conditions) if complete else " ".join(stated or [])
+                whole = "\x01".join((kind, " ".join(tokens), sig, str(complete)))
+                rows.append((row, side, kind, xxhash.xxh3_128_digest(whole), xxhash.xxh64_intdigest(numbers) - (1 << 63), simhash(tokens, votes), sig, complete, " ".join(stated) if stated else None, placed(tokens)))
             columns = list(zip(*rows)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, "id bigint, split string, group string, cls binary, vals bigint, code bigint, sig string, complete boolean, pairs string, placed array<string>")
 
 
 def _segments(code: Column) -> Column:
-    return F.array(*(F.struct(F.lit(i).alias("no"), F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1)).alias("part")) for i, (shift, width) in enumerate(SEGMENTS)))
-
-
-def _members(prints: DataFrame) -> DataFrame:
-    # a request that can be read in full is its conditions; else its words count too
-    words = F.when(F.col("complete"), F.lit("")).otherwise(F.concat_ws(" ", "words"))
-    return prints.withColumn("cls", F.unhex(F.md5(F.concat_ws("\u0001", "group", F.when(F.col("complete"), F.col("sig")).otherwise(F.lit("?")), "pairs", "vals", words))))
+    return F.array(*(F.struct(F.lit(i).cast("byte").alias("no"), F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("short").alias("part")) for i, (shift, width) in enumerate(SEGMENTS)))
 
 
-def overlaps(prints: DataFrame, train: list[str], held_out: list[str]) -> DataFrame:
-    """(id_a, id_b, distance): every row of ``train`` splits with every held-out row that asks for the same; smaller id first."""
-    members = cut(_members(prints).withColumn("side", F.when(F.col("split").isin(train), 0).when(F.col("split").isin(held_out), 1)).where("side is not null"))
-    classes = cut(members.groupBy("side", "cls").agg(*(F.min(c).alias(c) for c in ("group", "sig", "pairs", "vals", "words", "complete", "code"))))
+def class_pairs(prints: DataFrame, train: list[str], held_out: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(members, links).  Members: side (0 train, 1 held out), cls, id.  Links: cls_0, cls_1, distance, one row a pair of classes that ask for
+    the same; a text on both sides is linked to itself."""
+    asks = ["sig", "complete", "pairs", "placed"]
+    members = cut(prints.withColumn("side", F.when(F.col("split").isin(train), 0).when(F.col("split").isin(held_out), 1)).where("side is not null").drop("split"))
+    classes = cut(members.groupBy("side", "cls").agg(*(F.first(c).alias(c) for c in ("group", "vals", "code", *asks))))
     # only ids and codes meet in the join; what a class asks for is fetched for the pairs within the radius
-    cut_up = classes.select("side", "group", "cls", "code", F.explode(_segments(F.col("code"))).alias("s")).select("side", "group", "cls", "code", "s.no", "s.part")
+    cut_up = classes.select("side", "group", "vals", "cls", "code", F.explode(_segments(F.col("code"))).alias("s")).select("side", "group", "vals", "cls", "code", "s.no", "s.part")
     side = lambda n: cut_up.where(F.col("side") == n).drop("side").withColumnsRenamed({"cls": f"cls_{n}", "code": f"code_{n}"})
-    met = side(0).join(side(1), ["group", "no", "part"])
+    met = side(0).join(side(1), ["group", "vals", "no", "part"])
     differ = F.col("code_0").bitwiseXOR(F.col("code_1"))
     earlier = reduce(lambda a, b: a | b, [(F.col("no") > i) & (F.shiftrightunsigned(differ, shift).bitwiseAND(F.lit((1 << width) - 1)) == 0) for i, (shift, width) in enumerate(SEGMENTS[:-1])])
     near = met.withColumn("distance", F.bit_count(differ)).where((F.col("distance") <= RADIUS) & ~earlier).select("cls_0", "cls_1", "distance")
-    asked = lambda n: classes.where(F.col("side") == n).select(F.col("cls").alias(f"cls_{n}"), *(F.col(c).alias(f"{c}_{n}") for c in ("sig", "pairs", "vals", "words", "complete")))
+    asked = lambda n: classes.where(F.col("side") == n).select(F.col("cls").alias(f"cls_{n}"), *(F.col(c).alias(f"{c}_{n}") for c in asks))
     known = near.join(asked(0), "cls_0").join(asked(1), "cls_1")
-    # the words of a class's first row stand for it; they only serve where a request was not read in full
-    alike = F.size(F.array_intersect("words_0", "words_1")) / F.size(F.array_union("words_0", "words_1")) >= SIMILAR
-    same = F.when(F.col("complete_0") & F.col("complete_1"), F.col("sig_0") == F.col("sig_1")).otherwise((F.col("vals_0") == F.col("vals_1")) & (F.col("pairs_0") == F.col("pairs_1")) & alike)
-    pairs = known.where(same).select("cls_0", "cls_1", "distance")
+    alike = F.size(F.array_intersect("placed_0", "placed_1")) / F.size(F.array_union("placed_0", "placed_1")) >= SIMILAR
+    same = F.when(F.col("complete_0") & F.col("complete_1"), F.col("sig_0") == F.col("sig_1")).otherwise(F.coalesce(F.col("pairs_0") == F.col("pairs_1"), F.lit(True)) & alike)
+    return members.select("side", "cls", "id"), known.where(same).select("cls_0", "cls_1", "distance")
+
+
+def overlaps(prints: DataFrame, train: list[str], held_out: list[str]) -> DataFrame:
+    """(id_a, id_b, train_id, held_out_id, distance): every row of ``train`` splits with every held-out row that asks for the same; smaller id first."""
+    members, links = class_pairs(prints, train, held_out)
     rows = lambda n: members.where(F.col("side") == n).select(F.col("cls").alias(f"cls_{n}"), F.col("id").alias(f"id_{n}"))
-    out = rows(0).join(pairs, "cls_0").join(rows(1), "cls_1")
+    out = rows(0).join(links, "cls_0").join(rows(1), "cls_1")
     return out.select(F.least("id_0", "id_1").alias("id_a"), F.greatest("id_0", "id_1").alias("id_b"), F.col("id_0").alias("train_id"), F.col("id_1").alias("held_out_id"), "distance")

@@ -57,24 +57,33 @@ def p2_class(spark: SparkSession, sf: str) -> DataFrame:
 TRAIN, HELD_OUT = ["train"], ["valid", "test"]
 
 
-def _overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    prints = overlap.fingerprints(table(spark, sf, "task_sample"), "sample_id", "split", "record_type", "prompt", "composition", REQUESTS)
-    return overlap.overlaps(prints, TRAIN, HELD_OUT)
+def _prints(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.fingerprints(table(spark, sf, "task_sample"), "sample_id", "split", "record_type", "prompt", "composition", REQUESTS)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _overlaps(spark, sf).select(F.col("id_a").alias("sample_id_a"), F.col("id_b").alias("sample_id_b"))
+    return overlap.overlaps(_prints(spark, sf), TRAIN, HELD_OUT).select(F.col("id_a").alias("sample_id_a"), F.col("id_b").alias("sample_id_b"))
+
+
+def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """One row a sample of either side: its class and the number of classes of the other side that ask for the same."""
+    members, links = overlap.class_pairs(_prints(spark, sf), TRAIN, HELD_OUT)
+    links = cut(links)
+    n = [links.groupBy(F.col(f"cls_{i}").alias("cls")).agg(F.count("*").alias("n_links")).withColumn("side", F.lit(i)) for i in (0, 1)]
+    out = members.join(n[0].unionByName(n[1]), ["side", "cls"], "left")
+    return out.select(F.col("id").alias("sample_id"), F.hex("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def p4_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Per split and source: rows there are, rows that also stand in train (word for word, or nearly), and rows declared in corpus_report."""
-    samples = table(spark, sf, "task_sample").select("sample_id", F.lower(F.trim("split")).alias("split"), F.lower(F.trim("source")).alias("source"), F.trim("prompt").alias("prompt"))
-    pairs = cut(_overlaps(spark, sf))
-    text = samples.select(F.col("sample_id").alias("train_id"), F.col("prompt").alias("train_prompt"))
-    found = pairs.join(text, "train_id").join(samples.select(F.col("sample_id").alias("held_out_id"), "prompt"), "held_out_id")
-    found = found.groupBy(F.col("held_out_id").alias("sample_id")).agg(F.max((F.col("prompt") == F.col("train_prompt")).cast("int")).alias("verbatim"))
-    rows = samples.where(F.col("split").isin(HELD_OUT)).join(found, "sample_id", "left")
-    counted = rows.groupBy("split", "source").agg(F.count("*").alias("n_rows"), F.count("verbatim").alias("n_overlapping"), F.coalesce(F.sum("verbatim"), F.lit(0)).alias("n_verbatim"))
+    """Per split and source: rows there are, rows that also stand in train (word for word, or nearly), and rows declared in corpus_report.
+
+    Counted on classes: a held-out row overlaps if its class has a link, however many rows the linked classes have."""
+    samples = table(spark, sf, "task_sample").select("sample_id", F.lower(F.trim("split")).alias("split"), F.lower(F.trim("source")).alias("source"), F.md5(F.trim("prompt")).alias("prompt"))
+    members, links = overlap.class_pairs(_prints(spark, sf), TRAIN, HELD_OUT)
+    linked = members.where("side = 1").join(links.select(F.col("cls_1").alias("cls")).distinct(), "cls").select(F.col("id").alias("sample_id"), F.lit(1).alias("linked"))
+    in_train = samples.where(F.col("split").isin(TRAIN)).select("prompt", F.lit(1).alias("copied")).distinct()
+    rows = samples.where(F.col("split").isin(HELD_OUT)).join(linked, "sample_id", "left").join(in_train, "prompt", "left")
+    counted = rows.groupBy("split", "source").agg(F.count("*").alias("n_rows"), F.count("linked").alias("n_overlapping"), F.count_if(F.col("linked").isNotNull() & F.col("copied").isNotNull()).alias("n_verbatim"))
     names = [(a, b) for a in ("task_a", "task_c", "external") for b in HELD_OUT]
     declared = table(spark, sf, "corpus_report").select(F.explode(F.array(*(F.struct(F.lit(b).alias("split"), F.lit(a).alias("source"), F.col(f"counts.{a}_{b}").alias("n")) for a, b in names))).alias("d"))
     declared = declared.groupBy("d.split", "d.source").agg(F.sum("d.n").alias("n_declared"))
@@ -152,7 +161,7 @@ def p9_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find(docs, model).groupBy("kind").agg(F.count("*").alias("n_cases"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p2_protein_day, p2_protein, p2_day, p2_class, p4_found, p4_report, p5_found, p5_ranked, p7_found, p7_spans, p7_items, p8_mix, p8_shares, p9_found, p9_redacted, p9_kinds)}
+QUERIES = {f.__name__: f for f in (p2_protein_day, p2_protein, p2_day, p2_class, p4_found, p4_classes, p4_report, p5_found, p5_ranked, p7_found, p7_spans, p7_items, p8_mix, p8_shares, p9_found, p9_redacted, p9_kinds)}
 
 
 def _sql_percentiles(source: str, keys: str, metric: str = "") -> str:
