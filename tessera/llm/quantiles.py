@@ -6,10 +6,11 @@ their merged order, the odd and the even positions in turn.  Such a collapse mov
 buffers only ever meet their equals (a binary tree), so the total is at most (n / 2k) * log2(n / k) ranks.  The
 summary carries the sum of the moves actually made: ``rank_error`` is a proven bound, and 0 means exact.
 
-Groups are never gathered whole.  A group with up to ``k`` values is one exact buffer, built in the JVM.  A larger
-one is dealt into leaves of about ``k`` values, which are collapsed in a tree of fan-in ``FAN``.  The keys
-whose size must be known before their rows are dealt are counted first; those with at least ``hot_share`` of the
-rows (at most 1 / ``hot_share`` keys) are broadcast, all others are counted in the window that deals them.
+Groups are counted first.  A group with up to ``k`` values is one exact buffer, built in the JVM.  A larger one is
+dealt into leaves of about ``k`` values, which are collapsed in a tree of fan-in ``FAN``.  No task holds more than
+``LARGEST`` values of a group, whatever its share of the rows: a larger group's rows are spread by leaf.  Groups with at
+least ``hot_share`` of the rows (at most 1 / ``hot_share`` of them) learn their size by a broadcast, all others by a
+shuffled join.
 
 ``merge`` adds summaries of days, partitions or other parts to those of the whole, and the bounds add up too.
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,7 @@ from tessera.session import cut
 
 K = 2048
 FAN = 32
+LARGEST = 64 * K
 BUFFERS = T.ArrayType(T.StructType([T.StructField("weight", T.LongType()), T.StructField("values", T.ArrayType(T.DoubleType()))]))
 
 
@@ -82,15 +84,16 @@ def summaries(df: DataFrame, keys: list[str], value: str, k: int = K, hot_share:
     rows = df.select(*keys, _finite(F.col(value)).alias("__v")).where(" and ".join([f"`{x}` is not null" for x in keys] + ["__v is not null"]))
     counts = cut(rows.groupBy(*keys).agg(F.count("*").alias("__n")))
     total = counts.agg(F.sum("__n")).first()[0] or 0
-    hot = F.broadcast(counts.where(F.col("__n") >= F.lit(max(k, hot_share * total))))
-    # Both ways of dealing give a task that runs again the same leaves: by value order (equal values may change places), or by
-    # the row's place in a checkpoint.
-    place = Window.partitionBy(*keys).orderBy("__v")
-    cold_rows = rows.join(hot.select(*keys), keys, "left_anti").withColumns({"__n": F.count("*").over(Window.partitionBy(*keys)), "__leaf": F.floor((F.row_number().over(place) - 1) / F.lit(k))})
-    hot_rows = cut(rows.join(hot, keys))
-    hot_rows = hot_rows.withColumn("__leaf", F.pmod(F.xxhash64("__v", F.monotonically_increasing_id()), F.ceil(F.col("__n") / F.lit(k))))
+    is_hot = F.col("__n") >= F.lit(max(k, hot_share * total))
+    hot = F.broadcast(counts.where(is_hot))
+    cold_rows = rows.join(hot.select(*keys), keys, "left_anti").join(counts.where(~is_hot), keys)
+    # Rows that stay in one task are dealt as they come there; rows that are spread are dealt by their place in a checkpoint, so
+    # that a task that runs again deals alike.
+    deal = F.when(F.col("__n") > k, F.pmod(F.xxhash64("__v", F.monotonically_increasing_id()), F.ceil(F.col("__n") / F.lit(k)))).otherwise(F.lit(0)).cast("long")
+    spread = cut(rows.join(hot, keys).unionByName(cold_rows.where(F.col("__n") > LARGEST))).withColumn("__leaf", deal)
+    kept = cold_rows.where(F.col("__n") <= LARGEST).withColumn("__leaf", deal)
     leaf = [F.count("*").alias("n"), F.array_sort(F.collect_list("__v")).alias("__values"), F.first("__n").alias("__n")]
-    leaves = cold_rows.groupBy(*keys, "__leaf").agg(*leaf).unionByName(hot_rows.groupBy(*keys, "__leaf").agg(*leaf))
+    leaves = kept.groupBy(*keys, "__leaf").agg(*leaf).unionByName(spread.groupBy(*keys, "__leaf").agg(*leaf))
     leaves = leaves.select(*keys, "__leaf", "n", F.lit(0).cast("long").alias("rank_error"), F.array(F.struct(F.lit(1).cast("long").alias("weight"), F.col("__values").alias("values"))).cast(BUFFERS).alias("buffers"), "__n")
     leaves = cut(leaves)
     small = leaves.where(F.col("__n") <= k).select(*keys, "n", "rank_error", "buffers")

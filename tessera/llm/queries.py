@@ -17,24 +17,21 @@ WANTED = [0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
 UNKNOWN = ""  # stands for no accession or no day in the parts, so that they add up to the whole; no code is blank
 
 
-def _lysine_days(spark: SparkSession, sf: str, value: str) -> DataFrame:
+def _lysine_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Both metrics in long form, so that one pass serves them."""
     known = {"uniprot_acc": _protein("uniprot_acc"), "day": F.date_format("measured_at", "yyyy-MM-dd")}
-    rows = table(spark, sf, "lysine").select(*(F.coalesce(c, F.lit(UNKNOWN)).alias(name) for name, c in known.items()), value)
-    return quantiles.summaries(rows, ["uniprot_acc", "day"], value)
+    metrics = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("nz_rel_sasa", "cb_cb_distance"))))
+    return table(spark, sf, "lysine").select(*(F.coalesce(c, F.lit(UNKNOWN)).alias(name) for name, c in known.items()), metrics.alias("m")).select("m.metric", "uniprot_acc", "day", "m.value")
 
 
 def _protein(c: str):
     return F.nullif(F.upper(F.trim(c)), F.lit(""))
 
 
-def _lysine(spark: SparkSession, sf: str, keys: list[str]) -> DataFrame:
+def _lysine(spark: SparkSession, sf: str, keys: list[str], k: int = quantiles.K) -> DataFrame:
     """Percentiles by protein and day, or of their sums over the days or the proteins; only a key reported must be known."""
-    parts = []
-    for value in ("nz_rel_sasa", "cb_cb_distance"):
-        days = _lysine_days(spark, sf, value).where(" and ".join(f"{k} <> '{UNKNOWN}'" for k in keys))
-        found = days if len(keys) == 2 else quantiles.merge(cut(days), keys)
-        parts.append(quantiles.percentiles(found, WANTED).select(F.lit(value).alias("metric"), "*"))
-    return reduce(DataFrame.unionByName, parts)
+    days = quantiles.summaries(_lysine_rows(spark, sf), ["metric", "uniprot_acc", "day"], "value", k).where(" and ".join(f"{x} <> '{UNKNOWN}'" for x in keys))
+    return quantiles.percentiles(days if len(keys) == 2 else quantiles.merge(cut(days), ["metric", *keys], k), WANTED)
 
 
 def p2_protein_day(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,6 +46,23 @@ def p2_day(spark: SparkSession, sf: str) -> DataFrame:
     return _lysine(spark, sf, ["day"])
 
 
+def p2_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The stated bounds put to the test: percentiles by protein and by day from buffers of 64 values, and whether each one's true rank
+    lies within its rank_error."""
+    rows = _lysine_rows(spark, sf)
+    parts = []
+    for key in ("uniprot_acc", "day"):
+        found = _lysine(spark, sf, [key], 64).withColumnRenamed(key, "key")
+        given = F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.col(f"p{q * 100:g}").alias("p")) for q in WANTED)))
+        given = found.select("metric", "key", "n", "rank_error", given.alias("w")).select("metric", "key", "n", "rank_error", "w.*")
+        values = rows.select("metric", F.col(key).alias("key"), "value").where("abs(value) < double('inf')")
+        ranks = values.join(given, ["metric", "key"]).groupBy("metric", "key", "n", "rank_error", "q").agg(F.count_if(F.col("value") < F.col("p")).alias("below"), F.count_if(F.col("value") <= F.col("p")).alias("upto"))
+        wanted = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("q") - F.lit(1e-9)))
+        held = (F.col("below") + 1 - F.col("rank_error") <= wanted) & (wanted <= F.col("upto") + F.col("rank_error"))
+        parts.append(ranks.select(F.lit(key).alias("of"), "metric", "key", "n", "q", held.alias("within")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p2_class(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "bridge").select("ccd_class", "dsasa_total")
     return quantiles.percentiles(quantiles.summaries(rows, ["ccd_class"], "dsasa_total"), WANTED)
@@ -161,7 +175,7 @@ def p9_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find(docs, model).groupBy("kind").agg(F.count("*").alias("n_cases"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p2_protein_day, p2_protein, p2_day, p2_class, p4_found, p4_classes, p4_report, p5_found, p5_ranked, p7_found, p7_spans, p7_items, p8_mix, p8_shares, p9_found, p9_redacted, p9_kinds)}
+QUERIES = {f.__name__: f for f in (p2_protein_day, p2_protein, p2_day, p2_class, p2_bounds, p4_found, p4_classes, p4_report, p5_found, p5_ranked, p7_found, p7_spans, p7_items, p8_mix, p8_shares, p9_found, p9_redacted, p9_kinds)}
 
 
 def _sql_percentiles(source: str, keys: str, metric: str = "") -> str:
@@ -170,9 +184,19 @@ def _sql_percentiles(source: str, keys: str, metric: str = "") -> str:
     return f"WITH v AS ({source}), r AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY x) AS i, count(*) OVER (PARTITION BY {by}) AS n FROM v WHERE x IS NOT NULL AND isfinite(x)) SELECT {by}, n, 0 AS rank_error, {of} FROM r GROUP BY {by}, n"
 
 
+def _sql_lysine_rows() -> str:
+    one = "SELECT '{0}' AS metric, nullif(upper(trim(uniprot_acc, ' ')), '') AS uniprot_acc, strftime(measured_at, '%Y-%m-%d') AS day, {0} AS x FROM lysine"
+    return f"{one.format('nz_rel_sasa')} UNION ALL {one.format('cb_cb_distance')}"
+
+
 def _sql_lysine(keys: str) -> str:
-    one = "SELECT '{0}' AS metric, nullif(upper(trim(uniprot_acc, ' ')), '') AS uniprot_acc, strftime(measured_at, '%Y-%m-%d') AS day, {0} AS x FROM lysine WHERE nullif(upper(trim(uniprot_acc, ' ')), '') IS NOT NULL AND measured_at IS NOT NULL"
-    return _sql_percentiles(f"{one.format('nz_rel_sasa')} UNION ALL {one.format('cb_cb_distance')}", keys, "metric")
+    known = " AND ".join(f"{k.strip()} IS NOT NULL" for k in keys.split(","))
+    return _sql_percentiles(f"SELECT * FROM ({_sql_lysine_rows()}) WHERE {known}", keys, "metric")
+
+
+def _sql_bounds() -> str:
+    one = "SELECT '{0}' AS of, metric, {0} AS key, count(*) AS n FROM v WHERE {0} IS NOT NULL AND x IS NOT NULL AND isfinite(x) GROUP BY ALL"
+    return f"WITH v AS ({_sql_lysine_rows()}), c AS ({one.format('uniprot_acc')} UNION ALL {one.format('day')}) SELECT c.*, q, true AS within FROM c, (SELECT unnest([{', '.join(map(str, WANTED))}])::DOUBLE AS q)"
 
 
 _TOP = """WITH f AS (SELECT upper(trim(uniprot_acc, ' ')) AS uniprot_acc, zf_start, max(imid_degradation_score) AS score FROM zinc_finger
@@ -180,11 +204,14 @@ _TOP = """WITH f AS (SELECT upper(trim(uniprot_acc, ' ')) AS uniprot_acc, zf_sta
   r AS (SELECT *, row_number() OVER (PARTITION BY uniprot_acc ORDER BY score DESC, zf_start) AS rank FROM f)"""
 
 
+def _words(key: str, table_: str) -> str:
+    cleaned = "lower(regexp_replace(text, '[\u00ad\u200b\u200c\u200d\ufeff]', '', 'g'))"
+    return f"SELECT {key}, regexp_extract_all({cleaned}, '[\\p{{L}}\\p{{N}}]+') AS w FROM {table_} WHERE text IS NOT NULL"
+
+
 def _grams(name: str, key: str, table_: str) -> str:
     """Distinct runs of twelve words of a table's texts."""
-    cleaned = "lower(regexp_replace(text, '[\u00ad\u200b\u200c\u200d\ufeff]', '', 'g'))"
-    words = f"SELECT {key}, regexp_extract_all({cleaned}, '[\\p{{L}}\\p{{N}}]+') AS w FROM {table_} WHERE text IS NOT NULL"
-    return f"{name} AS (SELECT DISTINCT {key}, unnest([array_to_string(w[k:k + 11], ' ') FOR k IN range(1, len(w) - 10)]) AS gram FROM ({words}))"
+    return f"{name} AS (SELECT DISTINCT {key}, unnest([array_to_string(w[k:k + 11], ' ') FOR k IN range(1, len(w) - 10)]) AS gram FROM ({_words(key, table_)}))"
 
 
 # the percentiles are exact, and so equal to SQL, as long as a group has at most quantiles.K values, as at the scale checked
@@ -192,8 +219,17 @@ SQL = {
     "p2_protein_day": _sql_lysine("uniprot_acc, day"),
     "p2_protein": _sql_lysine("uniprot_acc"),
     "p2_day": _sql_lysine("day"),
+    "p2_bounds": _sql_bounds(),
     "p2_class": _sql_percentiles("SELECT ccd_class, dsasa_total AS x FROM bridge WHERE ccd_class IS NOT NULL", "ccd_class"),
     "p5_found": f"{_TOP} SELECT uniprot_acc, zf_start FROM r WHERE rank <= 3",
     "p5_ranked": f"{_TOP} SELECT * FROM r WHERE rank <= 3",
+    # a document's places where a phrase of an item stands, joined to spans where they touch
+    "p7_items": f"""WITH {_grams('i', 'item_id', 'eval_item')},
+      d AS (SELECT doc_id, unnest(range(1, len(w) - 10)) AS k, w FROM ({_words('doc_id', 'documents')})),
+      h AS (SELECT DISTINCT doc_id, item_id, k FROM d JOIN i ON i.gram = array_to_string(w[k:k + 11], ' ')),
+      s AS (SELECT *, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id, item_id ORDER BY k) + 12 THEN 0 ELSE 1 END AS fresh FROM h),
+      g AS (SELECT doc_id, item_id, k, sum(fresh) OVER (PARTITION BY doc_id, item_id ORDER BY k) AS span FROM s),
+      n AS (SELECT doc_id, item_id, max(k) - min(k) + 12 AS n_words FROM g GROUP BY doc_id, item_id, span)
+      SELECT item_id, suite, count(DISTINCT doc_id) AS n_docs, coalesce(sum(n_words), 0) AS n_words FROM eval_item LEFT JOIN n USING (item_id) GROUP BY ALL""",
     "p7_found": f"WITH {_grams('d', 'doc_id', 'documents')}, {_grams('i', 'item_id', 'eval_item')} SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (gram)",
 }
