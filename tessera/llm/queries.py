@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import fmindex, mixing, overlap, pii, quantiles, topn
 from tessera.llm.requests import REQUESTS
-from tessera.session import cut, table
+from tessera.session import cut, remembered, table
 
 WANTED = [0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
 
@@ -158,8 +158,9 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _personal(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
+    """The documents, and the model, which is trained once for as long as the files stay as they are."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return docs, pii.fit(docs, table(spark, sf, "name_list"))
+    return docs, pii.load(remembered(spark, "personal data model", sf, lambda: pii.save(spark, pii.fit(docs, table(spark, sf, "name_list")))))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
