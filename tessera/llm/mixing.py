@@ -5,9 +5,10 @@ Within a source documents are taken in the order of their keys.  A source's budg
 many complete epochs as fit come first (each document once an epoch, at most ``max_repeats`` in all), and the
 rest of the budget is filled with the first documents in key order whose running token sum stays within it.
 
-The running sum over a source of any size is found from a histogram: keys fall into ``BUCKETS`` ordered buckets,
-token sums by bucket give the bucket in which the budget ends, buckets before it are taken whole, and only the
-documents of that one bucket are sorted and summed one by one.
+The running sum over a source of any size is found from histograms: keys fall into ``BUCKETS`` ordered buckets,
+token sums by bucket give the bucket in which the budget ends, buckets before it are taken whole, and that one
+bucket is divided in the same way once more.  Only the documents of one part in ``BUCKETS`` squared (17 million) of a
+source are sorted and summed one by one.
 
 Defined results: sources are compared trimmed, in lower case, with ``-`` read as ``_``; documents of a null or
 unlisted source are not used; null and empty texts have 0 tokens and are not used; a listed source without
@@ -19,9 +20,7 @@ gives shares of 0; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import importlib.util
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,7 +29,9 @@ from pyspark.sql import functions as F
 from tessera.session import cut
 
 BUCKETS = 4096
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # must be readable at this path on every executor
+#: Fixed value: the public pattern that splits text before the merges of that vocabulary.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def canonical_source(c: str | Column) -> Column:
@@ -38,15 +39,7 @@ def canonical_source(c: str | Column) -> Column:
     return F.nullif(F.translate(F.lower(F.trim(c)), "-", "_"), F.lit(""))
 
 
-def _pattern(tokenizer: str) -> str:
-    """The splitting pattern published beside the vocabulary file."""
-    spec = importlib.util.spec_from_file_location("vocabulary", Path(tokenizer).parent / "__init__.py")
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    return module.PATTERN
-
-
-def count_tokens(df: DataFrame, text: str, out: str = "n_tokens", tokenizer: str = TOKENIZER) -> DataFrame:
+def count_tokens(df: DataFrame, text: str, out: str = "n_tokens", tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """``df`` without ``text``, with the number of its tokens; null counts as 0.  Equal words are counted once a task."""
     kept = [c for c in df.columns if c != text]
     src = df.select(*kept, F.col(text).cast("string").alias("__text"))
@@ -56,7 +49,6 @@ def count_tokens(df: DataFrame, text: str, out: str = "n_tokens", tokenizer: str
         import regex
         import tiktoken
 
-        pattern = _pattern(tokenizer)
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(tokenizer, "rb"))}
         encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         pieces = regex.compile(pattern).findall
@@ -84,6 +76,15 @@ def exponential_key(doc_id: str, weight: Column, seed: int) -> Column:
     return -F.log(u) / weight
 
 
+def _edges(sums: DataFrame, rests: DataFrame) -> DataFrame:
+    """Per source the last bucket that fits whole into ``rest``, what is left after it, and the bucket in which the rest ends."""
+    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    at = sums.withColumn("upto", F.sum("tokens").over(upto)).join(rests, "source")
+    fits = F.col("upto") <= F.col("rest")
+    last = at.groupBy("source").agg(F.first("rest").alias("rest"), F.max(F.when(fits, F.col("bucket"))).alias("whole"), F.max(F.when(fits, F.col("upto"))).alias("taken"), F.min(F.when(~fits, F.col("bucket"))).alias("edge"))
+    return last.select("source", F.coalesce("whole", F.lit(-1)).alias("whole"), (F.col("rest") - F.coalesce("taken", F.lit(0))).alias("left"), "edge")
+
+
 def mix(
     docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str = "source", tokens: str = "n_tokens", quality: Column | None = None, total: int | None = None, seed: int = 7
 ) -> tuple[DataFrame, DataFrame]:
@@ -97,8 +98,8 @@ def mix(
     weight = F.greatest(quality if quality is not None else F.lit(1.0), F.lit(1e-6))
     used = docs.select(F.col(doc_id).alias("doc_id"), canonical_source(source).alias("source"), F.col(tokens).cast("bigint").alias("tokens"), weight.alias("__w")).where("tokens > 0")
     used = used.join(plan.select("source"), "source", "left_semi").withColumn("key", exponential_key("doc_id", F.col("__w"), seed)).drop("__w")
-    used = cut(used.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")))
-
+    place = (1 - F.exp(-F.col("key"))) * BUCKETS
+    used = cut(used.withColumn("bucket", F.least(F.floor(place), F.lit(BUCKETS - 1)).cast("int")))
     sums = cut(used.groupBy("source", "bucket").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_docs")))
     have = sums.groupBy("source").agg(F.sum("tokens").alias("available"), F.sum("n_docs").alias("n_docs"))
     if total is None:
@@ -107,15 +108,16 @@ def mix(
     plan = plan.withColumn("epochs", F.when(F.col("available") > 0, F.least(F.floor(F.col("budget") / F.col("available")), F.col("max_repeats"))).otherwise(F.lit(0)))
     plan = cut(plan.withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("available")).otherwise(F.lit(0))))
 
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    edges = sums.withColumn("upto", F.sum("tokens").over(upto)).join(plan.select("source", "rest"), "source")
-    # the last bucket that fits whole, and what is left for the one after it
-    last = edges.groupBy("source").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("bucket"))).alias("whole"), F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))).alias("taken"), F.min(F.when(F.col("upto") > F.col("rest"), F.col("bucket"))).alias("edge"))
-    rules = F.broadcast(cut(plan.select("source", "epochs", "rest").join(last, "source").select("source", "epochs", F.coalesce("whole", F.lit(-1)).alias("whole"), (F.col("rest") - F.coalesce("taken", F.lit(0))).alias("left"), "edge")))
-    ruled = used.join(rules, "source")
+    rules = _edges(sums, plan.select("source", "rest")).join(plan.select("source", "epochs"), "source")
+    ruled = used.join(F.broadcast(cut(rules)), "source")  # as many rows as sources are listed
     clear = ruled.where("edge is null or bucket <> edge").withColumn("copies", F.col("epochs") + (F.col("bucket") <= F.col("whole")).cast("long"))
+    inner = F.least(F.floor((place - F.col("bucket")) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+    edge = cut(ruled.where("bucket = edge").select("doc_id", "source", "tokens", "key", "epochs", "left", inner.alias("bucket")))
+    finer = _edges(edge.groupBy("source", "bucket").agg(F.sum("tokens").alias("tokens")), edge.select("source", F.col("left").alias("rest")).distinct())
+    edge = edge.drop("left").join(F.broadcast(cut(finer)), "source")
     running = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    edge = ruled.where("bucket = edge").withColumn("copies", F.col("epochs") + (F.sum("tokens").over(running) <= F.col("left")).cast("long"))
+    last = edge.where("bucket = edge").withColumn("copies", F.col("epochs") + (F.sum("tokens").over(running) <= F.col("left")).cast("long"))
+    edge = edge.where("edge is null or bucket <> edge").withColumn("copies", F.col("epochs") + (F.col("bucket") <= F.col("whole")).cast("long")).unionByName(last)
     cols = ["doc_id", "source", "tokens", F.col("copies").cast("bigint").alias("copies")]
     chosen = cut(clear.select(*cols).unionByName(edge.select(*cols)).where("copies > 0"))
 

@@ -157,6 +157,23 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
+def p8_bounds(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the mix, source by source: no more tokens than budgeted, no document more often than allowed, copies that
+    differ by one at most, a rest smaller than the largest document unless the source is used up, and a report that adds up."""
+    chosen, report = _mix(spark, sf)
+    sizes = mixing.count_tokens(table(spark, sf, "documents").select("doc_id", mixing.canonical_source("source").alias("source"), "text"), "text").where("n_tokens > 0")
+    docs = sizes.join(chosen.select("doc_id", "copies", F.col("source").alias("as")), "doc_id", "left").groupBy("source").agg(
+        F.max("n_tokens").alias("largest"), F.sum(F.coalesce(F.col("copies") * F.col("n_tokens"), F.lit(0))).alias("tokens"), F.max("copies").alias("most"), (F.max(F.coalesce("copies", F.lit(0))) - F.min(F.coalesce("copies", F.lit(0)))).alias("apart"), F.count_if(F.col("as") != F.col("source")).alias("astray"),
+    )
+    r = report.join(docs, "source", "left")
+    some = F.coalesce("tokens", F.lit(0))
+    return r.select(
+        "source", "max_repeats", F.round("target_share", 9).alias("target_share"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"),
+        ((some <= F.col("budget")) & (some == F.col("chosen_tokens")) & (F.coalesce("astray", F.lit(0)) == 0)).alias("within_budget"), ((F.coalesce("most", F.lit(0)) <= F.col("max_repeats")) & (F.coalesce("apart", F.lit(0)) <= 1)).alias("even_copies"),
+        (F.col("falls_short") | (F.col("budget") - some < F.coalesce("largest", F.lit(1))) | (F.coalesce("apart", F.lit(0)) == 0) & (some == F.col("available") * F.col("max_repeats"))).alias("filled"),
+    )
+
+
 def _personal(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
     """The documents, and the model, which is trained once for as long as the files stay as they are."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -176,7 +193,7 @@ def p9_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return pii.find(docs, model).groupBy("kind").agg(F.count("*").alias("n_cases"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p2_protein_day, p2_protein, p2_day, p2_class, p2_bounds, p4_found, p4_classes, p4_report, p5_found, p5_ranked, p7_found, p7_spans, p7_items, p8_mix, p8_shares, p9_found, p9_redacted, p9_kinds)}
+QUERIES = {f.__name__: f for f in (p2_protein_day, p2_protein, p2_day, p2_class, p2_bounds, p4_found, p4_classes, p4_report, p5_found, p5_ranked, p7_found, p7_spans, p7_items, p8_mix, p8_shares, p8_bounds, p9_found, p9_redacted, p9_kinds)}
 
 
 def _sql_percentiles(source: str, keys: str, metric: str = "") -> str:
@@ -224,6 +241,9 @@ SQL = {
     "p2_class": _sql_percentiles("SELECT ccd_class, dsasa_total AS x FROM bridge WHERE ccd_class IS NOT NULL", "ccd_class"),
     "p5_found": f"{_TOP} SELECT uniprot_acc, zf_start FROM r WHERE rank <= 3",
     "p5_ranked": f"{_TOP} SELECT * FROM r WHERE rank <= 3",
+    "p8_bounds": """WITH t AS (SELECT nullif(replace(lower(trim(source, ' ')), '-', '_'), '') AS source, sum(greatest(target_weight, 0)) AS w, max(greatest(max_repeats, 1)) AS max_repeats FROM mix_target GROUP BY 1),
+      d AS (SELECT replace(lower(trim(source, ' ')), '-', '_') AS source, count(*) AS n_docs FROM documents WHERE text <> '' GROUP BY 1)
+      SELECT t.source, max_repeats, round(w / sum(w) OVER (), 9) AS target_share, coalesce(n_docs, 0) AS n_docs, true AS within_budget, true AS even_copies, true AS filled FROM t LEFT JOIN d USING (source) WHERE t.source IS NOT NULL""",
     # a document's places where a phrase of an item stands, joined to spans where they touch
     "p7_items": f"""WITH {_grams('i', 'item_id', 'eval_item')},
       d AS (SELECT doc_id, unnest(range(1, len(w) - 10)) AS k, w FROM ({_words('doc_id', 'documents')})),

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing as M
@@ -35,7 +36,9 @@ def test_budgets_epochs_and_caps(spark):
     assert abs(sum(r.actual_share for r in got.values()) - 1) < 1e-9
 
 
-def test_selection_is_the_shortest_prefix_in_key_order(spark):
+@pytest.mark.parametrize("buckets", [1, 3, 4096])
+def test_selection_is_the_shortest_prefix_in_key_order(spark, monkeypatch, buckets):
+    monkeypatch.setattr(M, "BUCKETS", buckets)
     rows, docs, targets = frames(spark, 1500)
     chosen, report = M.mix(docs, targets, total=20_000, seed=3)
     keys = docs.where("source = 'big' and n_tokens > 0").withColumn("key", M.exponential_key("doc_id", F.lit(1.0), 3)).orderBy("key", "doc_id").collect()
@@ -64,7 +67,7 @@ def test_token_counts(spark):
     texts = ["Hello  world's end\n\n x", "", None, "Å²​ 12345", "a" * 50_000, "Hello  world's end\n\n x"]
     got = {r.i: r.n_tokens for r in M.count_tokens(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text").collect()}
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(M.TOKENIZER, "rb"))}
-    enc = tiktoken.Encoding("own", pat_str=M._pattern(M.TOKENIZER), mergeable_ranks=ranks, special_tokens={})
+    enc = tiktoken.Encoding("own", pat_str=M.PATTERN, mergeable_ranks=ranks, special_tokens={})
     assert got == {i: len(enc.encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)}
 
 
