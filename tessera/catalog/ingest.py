@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.catalog.atlas import entries
 from tessera.operators.references import code
-from tessera.session import cut, table
+from tessera.session import scratch, table
 from tessera.sources import files, manifest, sinks
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A scratch folder: inside the shared checkpoint folder where the cluster names one, else a temporary one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    root = f"{shared.rstrip('/')}/scratch" if shared else tempfile.mkdtemp(prefix="tessera-")
-    return f"{root}/{name}-{os.urandom(4).hex()}"
-
-
 def jsonl_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Orders written as JSON lines and read by schema."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    path = _folder(spark, "jsonl")
+    path = scratch(spark, "jsonl")
     sinks.write_jsonl(o, path)
     return files.read_jsonl(spark, path, o.schema)
 
@@ -34,7 +23,7 @@ def jsonl_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 def tsv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """A maintained, sorted TSV table; the separator is found by looking."""
     p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size")
-    path = _folder(spark, "tsv")
+    path = scratch(spark, "tsv")
     sinks.write_tsv(p, path, ["p_partkey"])
     return files.read_table(spark, path, schema=p.schema)
 
@@ -42,7 +31,7 @@ def tsv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 def upserted_parts(spark: SparkSession, sf: str) -> DataFrame:
     """INSERT OR REPLACE: the larger parts with a new price over all parts."""
     p = table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
-    path = _folder(spark, "upsert")
+    path = scratch(spark, "upsert")
     sinks.rebuild(p, path, ["p_partkey"])
     return sinks.upsert(p.where("p_size > 30").withColumn("p_retailprice", F.col("p_retailprice") + 1000), path, ["p_partkey"])
 
@@ -69,10 +58,16 @@ def clean_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nested_entries(spark: SparkSession, sf: str) -> DataFrame:
-    """Nested documents (polymers of an entry) flattened to counts and firsts."""
+    """Polymers of an entry as a count and the first."""
     p = table(spark, sf, "polymer_entity").withColumn("pdb_id", code("pdb_id")).where("pdb_id is not null")
-    nested = p.groupBy("pdb_id").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("polymers"))
-    return files.flattened(nested, {"n_polymers": "polymers"}, {"first": "polymers"}).select("pdb_id", "n_polymers", F.col("first.id").alias("first_id"))
+    return p.groupBy("pdb_id").agg(F.count("*").alias("n_polymers"), F.min("id").alias("first_id"))
+
+
+def chain_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """A nested list (the chains of a polymer) flattened to its size and its first element."""
+    p = table(spark, sf, "polymer_entity").where("asym_id is not null")
+    nested = p.select("id", F.transform(F.split("asym_id", ","), lambda c: F.struct(F.trim(c).alias("name"))).alias("chains"))
+    return files.flattened(nested, {"n_chains": "chains"}, {"first": "chains"}).select("id", "n_chains", F.col("first.name").alias("first_chain"))
 
 
 def manifest_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,7 +77,7 @@ def manifest_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _manifest(spark: SparkSession, sf: str) -> DataFrame:
     b = table(spark, sf, "bridge").where("structure_file is not null or status <> 'ok'").select(F.coalesce("structure_file", F.col("id").cast("string")).alias("key"), "status", F.date_format("loaded_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
-    path = _folder(spark, "manifest")
+    path = scratch(spark, "manifest")
     b.write.json(path)
     return manifest.read(spark, path)
 
@@ -98,7 +93,7 @@ def failed_keys(spark: SparkSession, sf: str) -> DataFrame:
     return manifest.failures(_manifest(spark, sf)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (jsonl_round_trip, tsv_round_trip, upserted_parts, conformed_entries, located_prices, fixed_width_rows, clean_codes, nested_entries, manifest_counts, pending_keys, failed_keys)}
+QUERIES = {f.__name__: f for f in (jsonl_round_trip, tsv_round_trip, upserted_parts, conformed_entries, located_prices, fixed_width_rows, clean_codes, nested_entries, chain_heads, manifest_counts, pending_keys, failed_keys)}
 
 from tessera.catalog.atlas import ENTRY_SQL  # noqa: E402
 
@@ -112,6 +107,7 @@ SQL = {
     "fixed_width_rows": "SELECT o_orderkey, o_custkey AS customer, trim(o_orderstatus, ' ') AS state, CAST(NULL AS INTEGER) AS bad FROM orders",
     "clean_codes": "SELECT id, CASE WHEN regexp_full_match(upper(trim(pdb_id, ' ')), '[0-9][A-Z0-9]{3}|PDB_[A-Z0-9]{8}') THEN upper(trim(pdb_id, ' ')) ELSE '' END AS pdb_id FROM bridge WHERE pdb_id IS NOT NULL",
     "nested_entries": "SELECT upper(trim(pdb_id, ' ')) AS pdb_id, count(*) AS n_polymers, min(id) AS first_id FROM polymer_entity WHERE nullif(trim(pdb_id, ' '), '') IS NOT NULL GROUP BY 1",
+    "chain_heads": "SELECT id, len(string_split(asym_id, ',')) AS n_chains, trim(string_split(asym_id, ',')[1], ' ') AS first_chain FROM polymer_entity WHERE asym_id IS NOT NULL",
     "manifest_counts": f"WITH {_M} SELECT CASE WHEN status LIKE 'failed%' THEN 'failed' ELSE status END AS status, count(*) AS n FROM t GROUP BY 1",
     "pending_keys": f"WITH {_M} SELECT DISTINCT coalesce(structure_file, CAST(id AS VARCHAR)) AS key FROM bridge WHERE coalesce(structure_file, CAST(id AS VARCHAR)) NOT IN (SELECT key FROM t WHERE status = 'ok')",
     "failed_keys": f"WITH {_M} SELECT split_part(status, ':', 2) AS reason, count(*) AS n FROM t WHERE status LIKE 'failed%' GROUP BY 1",

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tessera.operators import references as R
 from tessera.operators import skew
-from tessera.session import table
+from tessera.session import scratch, table
 from tessera.sources import delimited as D
 
 
@@ -53,6 +53,15 @@ def p1_valid_rows(spark: SparkSession, sf: str) -> DataFrame:
     return D.accepted(_annotations(spark, sf)).withColumn("release_date", F.date_format("release_date", "yyyy-MM-dd"))
 
 
+def p1_file_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw lines written to text files and read back: records are assembled from physical lines, and every valid line returns,
+    whatever stray quotes stand around it."""
+    folder = scratch(spark, "annotations")
+    table(spark, sf, "biolip2_annotations").where("raw_line is not null").select("raw_line").write.text(folder)
+    read = D.accepted(D.read_delimited(spark, folder, ANNOTATION)).drop("source_file")
+    return read.withColumn("release_date", F.date_format("release_date", "yyyy-MM-dd"))
+
+
 def p1_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return D.reject_counts(_annotations(spark, sf), "source_file")
 
@@ -103,7 +112,7 @@ def p6_counts(spark: SparkSession, sf: str) -> DataFrame:
     return R.orphan_counts(_orphans(spark, sf)).withColumn("period", F.date_format("period", "yyyy-MM"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_valid_rows, p1_reasons, p3_found, p3_profile, p3_ranking, p6_found, p6_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_valid_rows, p1_file_rows, p1_reasons, p3_found, p3_profile, p3_ranking, p6_found, p6_counts)}
 
 
 def _field(pattern: str, names: bool = True) -> str:
@@ -127,6 +136,17 @@ def _sql_valid() -> str:
     j AS (SELECT *, shape AND d IS NOT NULL AND (res = '' OR (try_cast(res AS DOUBLE) > 0 AND try_cast(res AS DOUBLE) <= 100)) AS valid FROM v)"""
 
 
+def _sql_valid_rows() -> str:
+    """The valid lines cut into their fields, each written plain or in quotes."""
+    rules = ["[0-9][A-Za-z0-9]{3}|[Pp][Dd][Bb]_[A-Za-z0-9]{8}", "[A-Za-z0-9]{1,4}", "(?:[0-9]+(?:\\.[0-9]+)?)?", "BS[0-9]{2,3}", "[A-Za-z0-9]{1,5}", "[A-Za-z0-9]{1,4}", None, None, "[0-9]{4}-[0-9]{2}-[0-9]{2}"]
+    cut_up = "\\t".join(f'(?: *({r}) *|" *({r}) *")' if r else '(?:([^"\\t\\r\\n]*)|"((?:[^"]|"")*)")' for r in rules)
+    names = [f"{kind}{i}" for i in range(9) for kind in "uq"]
+    value = lambda i: f"trim(replace(concat(g.u{i}, g.q{i}), '\"\"', '\"'), ' ')"
+    columns = {f.name: value(i) for i, f in enumerate(ANNOTATION)}
+    columns |= {"pdb_id": f"upper({columns['pdb_id']})", "ccd_id": f"upper({columns['ccd_id']})", "resolution": f"CAST(nullif({columns['resolution']}, '') AS DOUBLE)"}
+    return f"{_sql_valid()}, k AS (SELECT line_id, source_file, regexp_extract(r, '^{cut_up}$', {names}) AS g FROM j WHERE valid) SELECT line_id, source_file, {', '.join(f'{e} AS {n}' for n, e in columns.items())} FROM k"
+
+
 _CODES = """codes AS (SELECT 'ccd_id' AS column_name, nullif(upper(trim(ccd_id, ' ')), '') AS key_value, dsasa_total AS x FROM bridge
     UNION ALL SELECT 'pdb_id', nullif(upper(trim(pdb_id, ' ')), ''), dsasa_total FROM bridge)"""
 _ORPHANS = """refs AS (SELECT 'bridge' AS table_name, 'pdb_id' AS ref_column, id AS row_id, nullif(upper(trim(pdb_id, ' ')), '') AS k, loaded_at AS at_ FROM bridge
@@ -137,6 +157,8 @@ _ORPHANS = """refs AS (SELECT 'bridge' AS table_name, 'pdb_id' AS ref_column, id
   lost AS (SELECT * FROM refs r WHERE k IS NOT NULL AND NOT EXISTS (SELECT 1 FROM parents p WHERE p.ref_column = r.ref_column AND p.k = r.k AND p.s <= r.at_ AND (p.u IS NULL OR r.at_ < p.u)))"""
 
 SQL = {
+    "p1_valid_rows": _sql_valid_rows(),
+    "p1_file_rows": f"SELECT * EXCLUDE (line_id, source_file) FROM ({_sql_valid_rows()})",
     "p1_found": _sql_valid() + " SELECT line_id FROM j WHERE NOT valid",
     "p3_found": f"WITH {_CODES} SELECT column_name, key_value FROM codes WHERE key_value IS NOT NULL GROUP BY ALL HAVING count(*) >= 0.02 * (SELECT count(*) FROM bridge)",
     "p3_profile": f"""WITH {_CODES}, r AS (SELECT *, row_number() OVER (PARTITION BY column_name, key_value, x IS NOT NULL AND NOT isnan(x) ORDER BY x) AS i,

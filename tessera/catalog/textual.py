@@ -172,6 +172,9 @@ SQL = {
     "formula_atoms": rf"WITH {LIGAND_SQL}, t AS (SELECT ccd_id, formula, list_filter(string_split_regex(formula, '\s+'), lambda x: regexp_full_match(x, '[A-Za-z]{{1,2}}[0-9]*') AND upper(regexp_extract(x, '^[A-Za-z]+')) NOT IN ('H', 'D', 'T')) AS ts FROM lig) SELECT ccd_id, CAST(list_sum([coalesce(try_cast(regexp_extract(x, '([0-9]+)$', 1) AS INTEGER), 1) for x in ts]) AS BIGINT) AS atoms, CASE WHEN NOT regexp_matches(trim(formula, ' '), '\s') AND regexp_full_match(trim(regexp_replace(formula, '[0-9+\-]', '', 'g'), ' '), '[A-Za-z]{{1,2}}') THEN upper(trim(regexp_replace(formula, '[0-9+\-]', '', 'g'), ' ')) END AS element FROM t",
     "named_rules": f"WITH {LIGAND_SQL} SELECT ccd_id, CASE WHEN lower(name) LIKE '%azole%' AND heavy_atoms >= 20 THEN 'azole' WHEN lower(name) LIKE '%amide%' AND NOT heavy_atoms >= 20 THEN 'small_amide' WHEN smiles LIKE '%c1%' AND heavy_atoms >= 20 THEN 'aromatic' ELSE 'other' END AS class FROM lig",
     "tiers": f"WITH {ENTRY_SQL}, s AS (SELECT pdb_id, greatest(1, coalesce(polymer_entity_count, 1)) * greatest(1, coalesce(nonpolymer_entity_count, 1)) AS size_proxy FROM ent) SELECT *, CASE WHEN size_proxy < 4 THEN 'light' WHEN size_proxy < 12 THEN 'middle' ELSE 'heavy' END AS tier_name FROM s",
+    "motif_matches": f"""WITH z AS (SELECT id, 'MKT' || core || 'TGEKP' || core AS s FROM zinc_finger WHERE core IS NOT NULL),
+      m AS (SELECT id, regexp_extract_all(s, '{MOTIF}') AS m, string_split_regex(s, '{MOTIF}') AS parts FROM z), i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m)
+      SELECT id, CAST(list_sum([len(x) FOR x IN parts[1:i]]) + coalesce(list_sum([len(x) FOR x IN m[1:i - 1]]), 0) + 1 AS INTEGER) AS start, m[i] AS match FROM i""",
     "aligned_cores": "SELECT id, rpad(left(core, 23), 23, '-') AS core FROM zinc_finger WHERE core IS NOT NULL",
     "core_features": f"SELECT id, {23 * len(GROUPS)} AS width, len(regexp_replace(left(rpad(core, 23, '-'), 23), '[^{_LETTERS}]', '', 'g')) AS ones, CASE WHEN regexp_matches(core, '^[{_LETTERS}]') THEN 1 ELSE 0 END AS first_ones FROM zinc_finger WHERE core IS NOT NULL",
     "weighted_positions": "WITH p AS (SELECT unnest(range(len(core))) AS pos, core FROM zinc_finger WHERE core IS NOT NULL) SELECT pos, count(*) AS n, count(*) FILTER (core[pos + 1] IN ('K', 'R', 'H')) AS n_positive FROM p GROUP BY 1",

@@ -3,8 +3,9 @@
 Parent deliveries and child references are brought into one long form (parent table, key, time, change); a
 reference holds if the running sum of changes at its time is positive.  Groups are (parent table, key, period),
 so that a hot key is split over all periods in which it is used; what a key carries into a period comes from a
-small pre-aggregate of the parent rows.  A group that holds at least ``HOT_SHARE`` of all references (there are at
-most 1 / ``HOT_SHARE`` of those) is split over ``SALTS`` tasks, each with a copy of the parent's changes.  Groups
+small pre-aggregate of the parent rows.  A group that holds at least ``HOT_SHARE`` of all references, or more than
+``LARGEST`` of them, is split over as many tasks as it has times ``LARGEST`` rows (``SALTS`` at least), each with a copy
+of the parent's changes.  The list of such groups is broadcast up to ``MOST_SENT`` of them and joined otherwise.  Groups
 lacking a live parent keep their references as orphans, and the report sums them by table and period.
 
 Defined results: a null or blank code is no reference; a reference without a time is an orphan (nothing was there
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from tessera.session import cut
 
 HOT_SHARE, SALTS = 0.002, 32
+LARGEST, MOST_SENT = 500_000, 50_000
 
 
 @dataclass(frozen=True)
@@ -73,17 +75,20 @@ def orphans(parents: list[Parent], references: list[Reference], period: str = "d
     group = ["parent", "key", "slot"]
     used = cut(refs.where("at is not null").groupBy(*group).agg(F.count("*").alias("n")))
     total = used.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(used.where(F.col("n") >= F.lit(max(1.0, HOT_SHARE * total))).select(*group, F.lit(True).alias("hot")))
+    many = F.greatest(F.lit(SALTS), F.ceil(F.col("n") / F.lit(LARGEST))).cast("int")
+    hot = used.where(F.col("n") >= F.lit(max(1.0, min(HOT_SHARE * total, LARGEST)))).select(*group, many.alias("hot"))
+    if hot.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        hot = F.broadcast(hot)
     net = changes.groupBy(*group).agg(F.sum("change").alias("net")).unionByName(used.select(*group, F.lit(0).cast("long").alias("net"))).groupBy(*group).agg(F.sum("net").alias("net"))
     before = Window.partitionBy("parent", "key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     carried = net.withColumn("change", F.coalesce(F.sum("net").over(before), F.lit(0))).where("change <> 0")
     carried = carried.select(*group, F.lit(None).cast("long").alias("at"), "change")
 
     none = {"table_name": F.lit(None).cast("string"), "ref_column": F.lit(None).cast("string"), "row_id": F.lit(None).cast("bigint")}
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salts = F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0), F.col("hot") - 1)).otherwise(F.array(F.lit(0)))
     state = changes.unionByName(carried).withColumns(none).join(hot, group, "left").withColumn("salt", F.explode(salts)).drop("hot")
     children = refs.where("at is not null").withColumn("change", F.lit(0).cast("long")).join(hot, group, "left")
-    children = children.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("table_name", "ref_column", "row_id"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    children = children.withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("table_name", "ref_column", "row_id"), F.col("hot")).cast("int")).otherwise(0)).drop("hot")
     upto = Window.partitionBy(*group, "salt").orderBy(F.col("at").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     judged = children.unionByName(state).withColumn("there", F.sum("change").over(upto)).where("table_name is not null and there <= 0")
     untimed = refs.where("at is null")

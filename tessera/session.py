@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 from collections.abc import Callable
 
@@ -19,7 +22,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    sc.setCheckpointDir(named or own_folder(spark, "checkpoint"))
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A temporary folder of this machine, removed when the process ends; only for a local master, as no other machine could read it."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    path = tempfile.mkdtemp(prefix=f"tessera-{name}-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a table of passing use: in the shared checkpoint folder where the cluster names one, else a local one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    root = f"{shared.rstrip('/')}/scratch" if shared else own_folder(spark, "scratch")
+    return f"{root}/{name}-{os.urandom(4).hex()}"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.ranking import first_per_key
-from tessera.session import cut
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -40,10 +39,19 @@ def upserted(old: DataFrame, new: DataFrame, key: list[str], order: list[Column]
 
 
 def upsert(df_new: DataFrame, path: str, key: list[str], order: list[Column] | None = None) -> DataFrame:
-    """Upsert into a Parquet table; the result is materialised before the old files go."""
+    """Upsert into a Parquet table.  The new table is written aside and takes the old one's name when it is whole, so that at every
+    moment one whole table is there (under ``path``, or under ``path``.old for the moment of the change)."""
     spark = df_new.sparkSession
-    rows = cut(upserted(spark.read.parquet(path), df_new, key, order))
-    rows.write.mode("overwrite").parquet(path)
+    path = path.rstrip("/")
+    upserted(spark.read.parquet(path), df_new, key, order).write.mode("overwrite").parquet(f"{path}.new")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    new, now, old = (hadoop(f"{path}{end}") for end in (".new", "", ".old"))
+    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not (fs.rename(now, old) and fs.rename(new, now)):
+        raise OSError(f"{path} could not be replaced; the old table is {path}.old, the new one {path}.new")
+    fs.delete(old, True)
+    spark.catalog.refreshByPath(path)
     return spark.read.parquet(path)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.ranking import first_per_key
+from tessera.session import cut
 
 
 def stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int = 100, form: str = "parquet") -> DataFrame:
@@ -33,15 +34,14 @@ def windowed_counts(events: DataFrame, at: str, width: str, by: list[str], late:
 
 
 def run_once(source: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, manifest: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Work on what is new and stop: data first, then the keys as done or failed (column status)."""
-
-    def batch(df: DataFrame, _: int) -> None:
-        done = work(df).persist()
-        try:
-            done.where("status = 'ok'").write.mode("append").parquet(out)
-            done.select(F.col(key).cast("string").alias("key"), "status", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")).write.mode("append").json(manifest)
-        finally:
-            done.unpersist()
+    """Work on what is new and stop: data first, then the keys as done or failed (column status).
+
+    Each batch has a folder of its own under ``out`` and ``manifest``, so a batch that runs again replaces what it wrote before."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        done = cut(work(df))
+        done.where("status = 'ok'").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        done.select(F.col(key).cast("string").alias("key"), "status", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")).write.mode("overwrite").json(f"{manifest}/batch={number}")
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
