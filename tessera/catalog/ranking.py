@@ -116,6 +116,13 @@ def group_splits(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.group_split(table(spark, sf, "events"), "user_id", {"train": 0.8, "valid": 0.1, "test": 0.1}, 3).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_users"))
 
 
+def composition_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests split by the conditions they are composed of; requests of a single condition are always in train."""
+    s = table(spark, sf, "task_sample").where("fields is not null and size(fields) > 0")
+    parts = F.filter("fields", lambda x: x.isNotNull())
+    return ranking.composition_split(s, parts, 0.2, "side").select("sample_id", "side")
+
+
 def best_window(spark: SparkSession, sf: str) -> DataFrame:
     """The best finger of each protein (MAX per protein with its row)."""
     z = _fingers(spark, sf).withColumn("turn", -F.col("id"))
@@ -130,7 +137,7 @@ def priority_queue(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (global_rank, running_sum, average_rank, top_per_protein, first_delivery, latest_delivery, smallest_value, fdr_by_type, fdr_overall, scaled_scores, finger_runs, adjacent_runs, sliding_exposure, neighbour_composition, furthest_site, index_quantiles, thinned_curve, stratified_sample, group_splits, best_window, priority_queue)
+    for f in (global_rank, running_sum, average_rank, top_per_protein, first_delivery, latest_delivery, smallest_value, fdr_by_type, fdr_overall, scaled_scores, finger_runs, adjacent_runs, sliding_exposure, neighbour_composition, furthest_site, index_quantiles, thinned_curve, stratified_sample, group_splits, composition_splits, best_window, priority_queue)
 }
 
 _F = "f AS (SELECT *, nullif(upper(trim(uniprot_acc, ' ')), '') AS acc, imid_degradation_score AS score FROM zinc_finger WHERE nullif(upper(trim(uniprot_acc, ' ')), '') IS NOT NULL AND imid_degradation_score IS NOT NULL AND NOT isnan(imid_degradation_score))"
@@ -157,6 +164,7 @@ SQL = {
     "furthest_site": "WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings), d AS (SELECT *, sqrt((a - avg(a) OVER w) ** 2 + (b - avg(b) OVER w) ** 2 + (c - avg(c) OVER w) ** 2) AS distance FROM e WINDOW w AS (PARTITION BY label)) SELECT label, vec_id, round(distance, 6) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY label ORDER BY distance DESC, vec_id) = 1",
     "index_quantiles": "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, n, " + ", ".join(f"max(CASE WHEN i = least(n - 1, floor(n * {q}::DOUBLE)) THEN value END) AS q{q * 100:g}" for q in (0.1, 0.25, 0.5, 0.75, 0.9)) + " FROM r WHERE n >= 5 GROUP BY 1, 2",
     "thinned_curve": "SELECT o_orderkey, o_totalprice FROM orders QUALIFY (row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1) % (SELECT greatest(1, count(*) // 24) FROM orders) = 0",
+    "composition_splits": "WITH k AS (SELECT sample_id, list_sort(list_distinct(list_filter(fields, lambda x: x IS NOT NULL))) AS k FROM task_sample WHERE len(fields) > 0) SELECT sample_id, CASE WHEN len(k) > 1 AND ('0x' || substr(md5(array_to_string(k, '|')), 1, 8))::BIGINT / 4294967296.0 < 0.2 THEN 'held_out' ELSE 'train' END AS side FROM k",
     "best_window": f"WITH {_F} SELECT acc, id, score FROM f QUALIFY row_number() OVER (PARTITION BY acc ORDER BY score DESC, id) = 1",
     "priority_queue": "SELECT CASE WHEN o_totalprice > 300000 THEN 1 WHEN o_totalprice > 100000 THEN 2 ELSE 3 END AS tier, o_orderkey FROM orders ORDER BY tier, o_totalprice DESC, o_orderkey LIMIT 100",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog.atlas import BRIDGE_SQL, ENTRY_SQL, LIGAND_SQL, bridges, entries, known, ligands
+from tessera.functions import scalars
 from tessera.operators import clusters, joins, ranking, sets, skew
 from tessera.operators.references import code
 from tessera.session import table
@@ -21,6 +22,20 @@ def bridged_proteins(spark: SparkSession, sf: str) -> DataFrame:
     return joins.chain_lookup(b, polymers(spark, sf).where("pdb_id is not null"), "pdb_id", ("chain_a", "chain_b"), "auth_asym_id", "uniprot_acc").select("id", "uniprot_acc_a", "uniprot_acc_b")
 
 
+def one_sided_bridges(spark: SparkSession, sf: str) -> DataFrame:
+    """Bridges that join a ligase with a protein that is none."""
+    ligases = polymers(spark, sf).where("is_e3 = 1")
+    return joins.one_sided(bridged_proteins(spark, sf), ligases, "uniprot_acc_a", "uniprot_acc_b", "uniprot_acc").select("id", "uniprot_acc_a", "uniprot_acc_b", "member_side")
+
+
+def side_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean change between the two sides, in doublings, by class and number of contacts, and each mean as a weight against its class's peak."""
+    b = bridges(spark, sf).where("ccd_class is not null and contacts_a is not null").select("ccd_class", "contacts_a", scalars.log_change(F.col("dsasa_a"), F.col("dsasa_b")).alias("change")).where("change is not null")
+    means = b.groupBy("ccd_class", "contacts_a").agg(F.count("*").alias("n"), F.avg("change").alias("mean_change"))
+    peaks = means.groupBy("ccd_class").agg(F.max("mean_change").alias("peak"))
+    return means.join(peaks, "ccd_class").select("ccd_class", "contacts_a", "n", "mean_change", scalars.peak_weight(F.col("mean_change"), F.col("peak"), 0.2).alias("weight"))
+
+
 def merged_ligands(spark: SparkSession, sf: str) -> DataFrame:
     """Full merge of the ligand table with what bridges say of ligands; the ligand table goes first."""
     seen = bridges(spark, sf).where("ccd_id is not null").groupBy("ccd_id").agg(F.min("ccd_class").alias("ccd_class"), F.min("ligand_label").alias("name"))
@@ -166,7 +181,7 @@ def interface_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (bridged_proteins, merged_ligands, finger_exposure, finger_labels, lonely_fingers, agreeing_codes, gene_or_accession, shared_entries, entries_without_bridge, all_codes, key_overlap, claimed_class, unambiguous_class, class_counts, class_moments, entry_pairs, representatives, pair_series, leading_series, replicate_means, screen_labels, tier_counts, components, interface_pairs)
+    for f in (bridged_proteins, one_sided_bridges, side_changes, merged_ligands, finger_exposure, finger_labels, lonely_fingers, agreeing_codes, gene_or_accession, shared_entries, entries_without_bridge, all_codes, key_overlap, claimed_class, unambiguous_class, class_counts, class_moments, entry_pairs, representatives, pair_series, leading_series, replicate_means, screen_labels, tier_counts, components, interface_pairs)
 }
 
 _ACC = "nullif(upper(trim(uniprot_acc, ' ')), '')"
@@ -177,8 +192,11 @@ _MET = "FROM win w LEFT JOIN pts p ON p.uniprot_acc = w.uniprot_acc AND least(hi
 _SERIES = f"""WITH {BRIDGE_SQL}, s AS (SELECT *, least(entity_a, entity_b) AS name_a, greatest(entity_a, entity_b) AS name_b FROM br WHERE status = 'ok' AND ccd_id IS NOT NULL AND dsasa_total IS NOT NULL AND bridging_balance IS NOT NULL AND entity_a <> entity_b),
   r AS (SELECT *, row_number() OVER (PARTITION BY name_a, name_b ORDER BY dsasa_total) AS i, count(*) OVER (PARTITION BY name_a, name_b) AS n, row_number() OVER (PARTITION BY name_a, name_b ORDER BY bridging_balance DESC, dsasa_total DESC, id DESC) AS w FROM s),
   g AS (SELECT name_a, name_b, count(*) AS n_rows, count(DISTINCT ccd_id) AS n_members, count(DISTINCT pdb_id) AS n_sources, min(CASE WHEN i >= ceil(0.5 * n - 1e-9) THEN dsasa_total END) AS median_size, max(CASE WHEN w = 1 THEN id END) AS widest_id, max(CASE WHEN w = 1 THEN bridging_balance END) AS widest_balance FROM r GROUP BY ALL)"""
+_BRIDGED = f"WITH {BRIDGE_SQL}, {_POLY}, ch AS (SELECT pdb_id, trim(l, ' ') AS label, min(uniprot_acc) AS acc FROM (SELECT pdb_id, unnest(string_split(auth_asym_id, ',')) AS l, uniprot_acc FROM pol WHERE uniprot_acc IS NOT NULL AND pdb_id IS NOT NULL) GROUP BY ALL) SELECT id, a.acc AS uniprot_acc_a, b.acc AS uniprot_acc_b FROM br JOIN ch a ON a.pdb_id = br.pdb_id AND a.label = trim(split_part(chain_a, '/', 1), ' ') JOIN ch b ON b.pdb_id = br.pdb_id AND b.label = trim(split_part(chain_b, '/', 1), ' ') WHERE br.status = 'ok' AND a.acc <> b.acc"
 SQL = {
-    "bridged_proteins": f"WITH {BRIDGE_SQL}, {_POLY}, ch AS (SELECT pdb_id, trim(l, ' ') AS label, min(uniprot_acc) AS acc FROM (SELECT pdb_id, unnest(string_split(auth_asym_id, ',')) AS l, uniprot_acc FROM pol WHERE uniprot_acc IS NOT NULL AND pdb_id IS NOT NULL) GROUP BY ALL) SELECT id, a.acc AS uniprot_acc_a, b.acc AS uniprot_acc_b FROM br JOIN ch a ON a.pdb_id = br.pdb_id AND a.label = trim(split_part(chain_a, '/', 1), ' ') JOIN ch b ON b.pdb_id = br.pdb_id AND b.label = trim(split_part(chain_b, '/', 1), ' ') WHERE br.status = 'ok' AND a.acc <> b.acc",
+    "one_sided_bridges": f"WITH bp AS ({_BRIDGED}), e AS (SELECT DISTINCT {_ACC} AS acc FROM polymer_entity WHERE is_e3 = 1 AND {_ACC} IS NOT NULL), x AS (SELECT *, uniprot_acc_a IN (SELECT acc FROM e) AS in_a, uniprot_acc_b IN (SELECT acc FROM e) AS in_b FROM bp) SELECT id, uniprot_acc_a, uniprot_acc_b, CASE WHEN in_a THEN 'a' ELSE 'b' END AS member_side FROM x WHERE in_a <> in_b",
+    "side_changes": f"WITH {BRIDGE_SQL}, m AS (SELECT ccd_class, contacts_a, count(*) AS n, avg(abs(log2(dsasa_a / dsasa_b))) AS mean_change FROM br WHERE ccd_class IS NOT NULL AND contacts_a IS NOT NULL AND dsasa_a > 0 AND dsasa_b > 0 AND isfinite(dsasa_a) AND isfinite(dsasa_b) GROUP BY ALL) SELECT *, CASE WHEN max(mean_change) OVER (PARTITION BY ccd_class) > 0 THEN 0.2::DOUBLE + 0.8::DOUBLE * mean_change / max(mean_change) OVER (PARTITION BY ccd_class) ELSE 0.2::DOUBLE END AS weight FROM m",
+    "bridged_proteins": _BRIDGED,
     "merged_ligands": f"WITH {LIGAND_SQL}, {BRIDGE_SQL}, s AS (SELECT ccd_id, min(ccd_class) AS c, min(ligand_label) AS l FROM br WHERE ccd_id IS NOT NULL GROUP BY 1) SELECT coalesce(lig.ccd_id, s.ccd_id) AS ccd_id, coalesce(nullif(trim(name, ' '), ''), l) AS name, coalesce(nullif(trim(ccd_class, ' '), ''), c) AS ccd_class FROM lig FULL JOIN s ON s.ccd_id = lig.ccd_id",
     "finger_exposure": f"WITH {_WIN} SELECT w.uniprot_acc, zf_start, zf_end, coalesce(max(exposure), 0) AS best, count(p.lo) AS n_overlaps {_MET.format(3)}",
     "finger_labels": f"WITH {_WIN} SELECT w.uniprot_acc, zf_start, zf_end, CASE WHEN count(p.lo) > 0 THEN 1 ELSE 0 END AS has_candidate, max(exposure) AS best {_MET.format(1)}",

@@ -131,6 +131,15 @@ def kmer_index(spark: SparkSession, sf: str) -> DataFrame:
     return k.join(shared, "kmer").groupBy("core").agg(F.min(F.struct("at", "kmer")).alias("f")).select("core", F.col("f.at").alias("at"), F.col("f.kmer").alias("kmer"))
 
 
+BARCODES = {"F": "short", "FQ": "middle", "FQC": "long", "Y": "y", "YKC": "y_long", "C": "c"}
+
+
+def demultiplexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Cores told apart by the longest of some overlapping prefixes."""
+    z = table(spark, sf, "zinc_finger").where("core is not null")
+    return z.select("id", X.longest_prefix(F.col("core"), BARCODES).alias("label"))
+
+
 def lysine_positions(spark: SparkSession, sf: str) -> DataFrame:
     """Positions of K in the whole protein, for cores that start at zf_start."""
     z = table(spark, sf, "zinc_finger").where("core is not null and zf_start is not null")
@@ -159,7 +168,7 @@ def reply_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (side_balance, capped_score, rule_classes, formula_atoms, named_rules, tiers, motif_matches, aligned_cores, core_features, weighted_positions, interface_json, evidence_json, ratios, normalised_text, sentence_counts, numerals_added, harvested_codes, keyword_documents, kmer_index, lysine_positions, chain_lists, code_parts, spread_rounding, reply_blocks)
+    for f in (side_balance, capped_score, rule_classes, formula_atoms, named_rules, tiers, motif_matches, aligned_cores, core_features, weighted_positions, interface_json, evidence_json, ratios, normalised_text, sentence_counts, numerals_added, harvested_codes, keyword_documents, kmer_index, demultiplexed, lysine_positions, chain_lists, code_parts, spread_rounding, reply_blocks)
 }
 
 _LETTERS = "".join(GROUPS.values())
@@ -187,6 +196,7 @@ SQL = {
     "harvested_codes": r"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\b([1-9][A-Z][A-Z0-9]{2})\b', 1))) AS code FROM documents WHERE text IS NOT NULL",
     "keyword_documents": "SELECT coalesce(lower(text) LIKE '%mask%' OR lower(text) LIKE '%dewar%' OR lower(text) LIKE '%plasmid%', false) AS has_word, count(*) AS n FROM documents GROUP BY 1",
     "kmer_index": "WITH z AS (SELECT DISTINCT core FROM zinc_finger WHERE core IS NOT NULL AND len(core) >= 3), p AS (SELECT core, unnest(range(1, len(core) - 1)) AS i FROM z), k AS (SELECT core, i, core[i:i + 2] AS kmer FROM p), s AS (SELECT kmer FROM k GROUP BY 1 HAVING count(DISTINCT core) > 1) SELECT core, i AS \"at\", kmer FROM k JOIN s USING (kmer) QUALIFY row_number() OVER (PARTITION BY core ORDER BY i) = 1",
+    "demultiplexed": "SELECT id, CASE " + " ".join(f"WHEN starts_with(core, '{p}') THEN '{BARCODES[p]}'" for p in sorted(BARCODES, key=len, reverse=True)) + " END AS label FROM zinc_finger WHERE core IS NOT NULL",
     "lysine_positions": "WITH p AS (SELECT id, core, zf_start, unnest(range(len(core))) AS i FROM zinc_finger WHERE core IS NOT NULL AND zf_start IS NOT NULL) SELECT id, zf_start + i AS position FROM p WHERE core[i + 1] = 'K'",
     "chain_lists": "SELECT id, trim(c, ' ') AS chain FROM (SELECT id, unnest(string_split(asym_id, ',')) AS c FROM polymer_entity) WHERE trim(c, ' ') <> ''",
     "code_parts": "SELECT id, split_part(chain_a, '/', 1) AS auth, upper(trim(ligand_label, ' ')) AS skeleton, left(trim(ligand_label, ' '), 2) AS head FROM bridge",

@@ -86,6 +86,17 @@ def position_weights(values: list[float], floor: float) -> list[float]:
     return [floor + (1 - floor) * v / peak if peak > 0 else floor for v in values]
 
 
+def peak_weight(value: Column, peak: Column, floor: float) -> Column:
+    """The same for a column and the peak of its group."""
+    return F.when(peak > 0, F.lit(floor) + F.lit(1 - floor) * value / peak).otherwise(F.lit(floor))
+
+
+def log_change(a: Column, b: Column) -> Column:
+    """Size of the change from b to a in doublings; null unless both are positive and finite."""
+    usable = (a > 0) & (b > 0) & (a < float("inf")) & (b < float("inf"))
+    return F.when(usable, F.abs(F.log2(a / b)))
+
+
 def distance(a: list[Column], b: list[Column]) -> Column:
     return F.sqrt(reduce(lambda x, y: x + y, [(p - q) * (p - q) for p, q in zip(a, b)]))
 

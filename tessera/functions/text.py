@@ -67,3 +67,11 @@ def first_class(text: Column, classes: list[str], otherwise: str = "unparseable"
     for c in reversed(classes):
         out = F.when(F.contains(F.lower(text), F.lit(c.lower())), F.lit(c)).otherwise(out)
     return out
+
+
+def longest_prefix(text: Column, prefixes: dict[str, str]) -> Column:
+    """The label of the longest of the given prefixes that the text begins with; null if there is none."""
+    out = F.lit(None).cast("string")
+    for p in sorted(prefixes, key=len):
+        out = F.when(F.startswith(text, F.lit(p)), F.lit(prefixes[p])).otherwise(out)
+    return out

@@ -97,3 +97,12 @@ def lookup_or_keep(df: DataFrame, column: str, names: DataFrame, name: str, valu
     """``column`` replaced by ``value`` of the matching ``name`` (smallest, if several), or kept where there is none."""
     one = names.where(F.col(name).isNotNull()).groupBy(F.col(name).alias(column)).agg(F.min(value).alias("__found"))
     return df.join(one, column, "left").withColumn(column, F.coalesce("__found", column)).drop("__found")
+
+
+def one_sided(pairs: DataFrame, members: DataFrame, left: str, right: str, key: str) -> DataFrame:
+    """Pairs of which exactly one side is a member, with which one it is (``member_side`` a or b); an unknown side is no member."""
+    held = members.where(F.col(key).isNotNull()).select(F.col(key)).distinct()
+    flags = lambda side, flag: held.select(F.col(key).alias(side), F.lit(True).alias(flag))
+    both = pairs.join(flags(left, "__in_a"), left, "left").join(flags(right, "__in_b"), right, "left")
+    a, b = (F.coalesce(c, F.lit(False)) for c in ("__in_a", "__in_b"))
+    return both.where(a != b).withColumn("member_side", F.when(a, F.lit("a")).otherwise(F.lit("b"))).drop("__in_a", "__in_b")

@@ -136,3 +136,11 @@ def group_split(df: DataFrame, group: str, shares: dict[str, float], seed: int,
         upto -= shares[names[names.index(split) + 1]]
         out = F.when(u < upto, F.lit(split)).otherwise(out)
     return df.withColumn(name, out)
+
+
+def composition_split(df: DataFrame, parts: Column, held_out: float, name: str = "split") -> DataFrame:
+    """Rows by what they are composed of: all rows of one composition (its distinct parts, in whatever order) on one side of the line, and
+    compositions of a single part always in train, so that every held-out part is known alone."""
+    key = F.array_sort(F.array_distinct(parts))
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", key)), 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
+    return df.withColumn(name, F.when((F.size(key) > 1) & (place < held_out), F.lit("held_out")).otherwise(F.lit("train")))
